@@ -65,14 +65,18 @@ def _hash_piece(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(np.add.reduceat(value, first))
 
 
-def words(texts: pa.Array) -> Words:
-    """``texts``: a large_string array without nulls."""
+#: All ASCII but letters and digits parts words, so that punctuation does not stick to them.
+BARE = _SPACE | ~np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+
+
+def words(texts: pa.Array, space: np.ndarray = _SPACE) -> Words:
+    """``texts``: a large_string array without nulls; ``space``: the bytes that part words."""
     b, off = _buffer(texts)
     n = len(b)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, U64), np.zeros(len(texts) + 1, np.int64), none, none, b)
-    solid = ~_SPACE[b]
+    solid = ~space[b]
     s, e = solid.copy(), solid.copy()
     s[1:] &= ~solid[:-1]
     e[:-1] &= ~solid[1:]
