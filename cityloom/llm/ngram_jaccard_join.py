@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
+from ._bloom import only_keys
 from ._common import cut, pieces, strings, table
 from ._graph import components
 
-#: Shingles counted as common: at most so many, those seen most, are sent to executors.
-MOST_COMMON = 100_000
-#: A shingle is reported as common by a task that sees it in so many documents.
-SEEN_IN = 12
+#: Counts of at most so many words, the most frequent, order the shingles (16 bytes each).
+#: Any order gives the same links; a better one gives fewer candidates.
+MOST_COMMON = 300_000
 #: Bounds of a block of a candidate cluster: documents, and shingles in all.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 
 
 def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,37 +51,57 @@ def _digest(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _text.mix(out + n.astype(np.uint64)) | np.uint64(1)
 
 
-def _common_shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words that a task's buffer has more than once."""
     held, total = [], 0
 
     def flush():
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        often = c >= SEEN_IN
+        often = c > 1
         return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])], ["h", "c"])
 
     for batch in pieces(batches, "text"):
-        h, _ = _sets(batch.column("text"), size)
-        held.append(h)
-        total += len(h)
-        if total > 2_000_000:
+        held.append(_text.words(strings(batch.column("text"))).hash)
+        total += len(held[-1])
+        if total > 3_000_000:
             yield flush()
             held, total = [], 0
     if total:
         yield flush()
 
 
+def _ranked(column: pa.Array, size: int, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles and their ranks: the count of the rarest word, which
+    bounds how often the shingle occurs."""
+    w = _text.words(strings(column))
+    h, first = _text.shingles(w, size)
+    n = np.diff(first)
+    if len(key):
+        at = np.minimum(np.searchsorted(key, w.hash), len(key) - 1)
+        word = np.where(key[at] == w.hash, count[at], 0)
+    else:
+        word = np.zeros(len(w.hash), np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(h)) - first[:-1][doc] + w.first[doc]
+    stop = w.first[doc + 1]
+    rank = word[at] if len(h) else np.zeros(0, np.int64)
+    for i in range(1, size):
+        inside = at + i < stop
+        rank[inside] = np.minimum(rank[inside], word[(at + i)[inside]])
+    order = np.lexsort((h, doc))
+    h, doc, rank = h[order], doc[order], rank[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[keep], np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=len(n))[: len(n)]))), rank[keep]
+
+
 def _profiles(batches: Iterator[pa.RecordBatch], size: int, tenths: int, common) -> Iterator[pa.RecordBatch]:
     """doc_id, set size, digest and the rare-first prefix (once for each digest and piece)."""
     key, count = common.value
     for batch in pieces(batches, "text"):
-        h, first = _sets(batch.column("text"), size)
+        h, first, rank = _ranked(batch.column("text"), size, key, count)
         n = np.diff(first)
         cls = _digest(h, first)
-        if len(key):
-            at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-            rank = np.where(key[at] == h, count[at], 0)
-        else:
-            rank = np.zeros(len(h), np.int64)
         doc = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((h, rank, doc))
         need = -(-tenths * n // 100)
@@ -175,7 +195,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = docs.select("text").mapInArrow(partial(_common_shingles, size=size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    seen = docs.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = seen.orderBy(F.desc("c"), "h").limit(MOST_COMMON).toPandas()
     key_, count = top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
     order = np.argsort(key_)
@@ -191,7 +211,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     member = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     texts = member.select("doc_id", "cluster", "block", other.alias("with")).select("doc_id", "cluster", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), (F.col("block") <= F.col("with")).alias("left"))
-    routed = docs.join(texts.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "bi", "bj", "left", "text")
+    near = only_keys(docs, "doc_id", member.select(F.col("doc_id").alias("key")))
+    routed = near.join(texts.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "bi", "bj", "left", "text")
     links = routed.groupBy("cluster", "bi", "bj").applyInArrow(lambda got: _block_links(got, size, percent), "a long, b long")
 
     root = components(links).withColumnsRenamed({"node": "cls"})

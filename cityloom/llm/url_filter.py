@@ -21,12 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bloom import MOST_BITS, bits_for, build, holds
 from ._common import ascii_lower, cut, table
 
-BITS_PER_KEY, PROBES = 12, 6
-#: 8 MB a level at most.
-MOST_BITS = 1 << 26
-
 #: (host, path, verdict) of the standard rules.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -49,34 +46,6 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...],
     return F.lit(None).cast("string") if out is None else out
 
 
-def _bits(n: int) -> int:
-    return max(64, -(-n * BITS_PER_KEY // 64) * 64)
-
-
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    """Double hashing: PROBES positions of a key in a level of ``bits`` bits."""
-    a, b = F.xxhash64(key, F.lit(level)), F.xxhash64(key, F.lit(-1 - level))
-    return [F.pmod(F.shiftright(a, 2) + i * F.shiftright(b, 6), F.lit(bits)) for i in range(PROBES)]
-
-
-def _filter(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row with the level's bits as an array of longs."""
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("at"))
-    words = at.groupBy(F.expr("at div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v"))
-    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "w")
-    full = every.join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("x"))
-    return cut(full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("bits")))
-
-
-def _holds(held: DataFrame, key: Column, level: int, bits: int) -> Column:
-    array, out = held.scalar(), None
-    for at in _positions(key, level, bits):
-        word = F.get(array, F.call_function("div", at, F.lit(64)).cast("int"))
-        one = F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        out = one if out is None else out & one
-    return out
-
-
 class Cascade:
     """``universe(key, listed)``, distinct keys, to an exact test of its keys."""
 
@@ -84,16 +53,16 @@ class Cascade:
         self.levels: list[tuple[DataFrame, int]] = []
         inside, outside, n = universe.where("listed").select("key"), universe.where(~F.col("listed")).select("key"), listed
         while n:
-            level, bits = len(self.levels), _bits(n)
-            self.levels.append((_filter(inside, level, bits), bits))
-            inside, outside = cut(outside.where(_holds(self.levels[-1][0], F.col("key"), level, bits))), inside
+            level, bits = len(self.levels), bits_for(n)
+            self.levels.append((build(inside, level, bits), bits))
+            inside, outside = cut(outside.where(holds(self.levels[-1][0], F.col("key"), level, bits))), inside
             n = inside.count()
 
     def listed(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             held, bits = self.levels[level]
-            out = F.when(_holds(held, key, level, bits), out).otherwise(F.lit(level % 2 == 1))
+            out = F.when(holds(held, key, level, bits), out).otherwise(F.lit(level % 2 == 1))
         return out
 
 
@@ -106,7 +75,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str]
     hosts = rows.select(F.col("host").alias("key"), F.lit(False).alias("listed")).where("key <> ''")
     universe = cut(hosts.unionByName(keys).groupBy("key").agg(F.max("listed").alias("listed")))
     n = universe.where("listed").count()
-    if _bits(n) <= most_bits:
+    if bits_for(n) <= most_bits:
         rows = rows.withColumn("listed", F.when(F.col("host") == "", False).otherwise(Cascade(universe, n).listed(F.col("host"))))
     else:
         rows = rows.join(universe.where("listed").withColumnsRenamed({"key": "host"}), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
