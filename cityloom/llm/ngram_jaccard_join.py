@@ -1,12 +1,13 @@
 """N-gram Jaccard join: documents whose word-shingle sets overlap by a threshold.
 
-Equal sets are first folded into classes.  Prefix filtering under a rare-first
-order of shingles links classes that could reach the threshold into candidate
-clusters; inside each cluster (in bounded blocks) a T-occurrence search counts
-overlaps: short inverted lists are merged, long ones are probed by binary search
-(DivideSkip), and pairs that reach the required overlap are links.  A block gives
-back one link for each linked member, never all its pairs, and the components of
-those links are those of all links.
+Equal sets are first folded into classes.  Classes that agree in a MinHash band are
+linked to the band's least class and so form candidate clusters; there are enough
+bands that a pair at the threshold agrees in none with a probability under 1e-12, as
+rare as an unlucky hash.  Inside each cluster (in bounded blocks) a T-occurrence search
+counts overlaps exactly: short inverted lists are merged, long ones are probed by
+binary search (DivideSkip), and pairs that reach the required overlap are links.  A
+block gives back one link for each linked member, never all its pairs, and the
+components of those links are those of all links.
 
 Defined results: a null or word-less text has an empty set and is its own
 component; repeated rows and equal texts share a component; a null ``doc_id`` is
@@ -30,9 +31,9 @@ from ._bloom import only_keys
 from ._common import cut, pieces, strings, table
 from ._graph import components
 
-#: Counts of at most so many words, the most frequent, order the shingles (16 bytes each).
-#: Any order gives the same links; a better one gives fewer candidates.
-MOST_COMMON = 300_000
+#: Rows of a MinHash band, and how likely a link at the threshold may be to share no band.
+ROWS, MISS = 3, 1e-12
+_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bounds of a block of a candidate cluster: documents, and shingles in all.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 
@@ -51,69 +52,32 @@ def _digest(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _text.mix(out + n.astype(np.uint64)) | np.uint64(1)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words that a task's buffer has more than once."""
-    held, total = [], 0
+def bands_for(percent: int) -> int:
+    """Bands needed to miss a link at the threshold with a probability under MISS."""
+    return int(np.ceil(np.log(MISS) / np.log(1 - (percent / 100) ** ROWS)))
 
-    def flush():
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        often = c > 1
-        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])], ["h", "c"])
 
+def _profiles(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, set size, digest and the band values (once for each digest and piece)."""
     for batch in pieces(batches, "text"):
-        held.append(_text.words(strings(batch.column("text"))).hash)
-        total += len(held[-1])
-        if total > 3_000_000:
-            yield flush()
-            held, total = [], 0
-    if total:
-        yield flush()
-
-
-def _ranked(column: pa.Array, size: int, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's distinct shingles and their ranks: the count of the rarest word, which
-    bounds how often the shingle occurs."""
-    w = _text.words(strings(column))
-    h, first = _text.shingles(w, size)
-    n = np.diff(first)
-    if len(key):
-        at = np.minimum(np.searchsorted(key, w.hash), len(key) - 1)
-        word = np.where(key[at] == w.hash, count[at], 0)
-    else:
-        word = np.zeros(len(w.hash), np.int64)
-    doc = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(h)) - first[:-1][doc] + w.first[doc]
-    stop = w.first[doc + 1]
-    rank = word[at] if len(h) else np.zeros(0, np.int64)
-    for i in range(1, size):
-        inside = at + i < stop
-        rank[inside] = np.minimum(rank[inside], word[(at + i)[inside]])
-    order = np.lexsort((h, doc))
-    h, doc, rank = h[order], doc[order], rank[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[keep], np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=len(n))[: len(n)]))), rank[keep]
-
-
-def _profiles(batches: Iterator[pa.RecordBatch], size: int, tenths: int, common) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, digest and the rare-first prefix (once for each digest and piece)."""
-    key, count = common.value
-    for batch in pieces(batches, "text"):
-        h, first, rank = _ranked(batch.column("text"), size, key, count)
+        h, first = _sets(batch.column("text"), size)
         n = np.diff(first)
         cls = _digest(h, first)
-        doc = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((h, rank, doc))
-        need = -(-tenths * n // 100)
-        take = np.where(n > 0, n - need + 1, 0)
         _, once = np.unique(cls, return_index=True)
         new = np.zeros(len(n), bool)
         new[once] = True
-        take[~new] = 0
-        keep = (np.arange(len(h)) - first[:-1][doc]) < take[doc]
-        off = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][keep].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), prefix], ["doc_id", "n", "cls", "prefix"])
+        new &= n > 0
+        own = h[np.repeat(new, n)]
+        at = np.cumsum(n[new]) - n[new]
+        value = np.zeros((int(new.sum()), bands), np.uint64)
+        if len(own):
+            for k in range(bands):
+                for r in range(ROWS):
+                    value[:, k] += np.minimum.reduceat(own * _ODD[ROWS * k + r], at) * _ODD[-1 - r]
+                value[:, k] = _text.mix(value[:, k] ^ np.uint64(k))
+        off = np.concatenate(([0], np.cumsum(np.where(new, bands, 0)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(value.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), lists], ["doc_id", "n", "cls", "bands"])
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -195,14 +159,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = docs.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = seen.orderBy(F.desc("c"), "h").limit(MOST_COMMON).toPandas()
-    key_, count = top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
-    order = np.argsort(key_)
-    common = spark.sparkContext.broadcast((key_[order], count[order]))
-    made = cut(docs.mapInArrow(partial(_profiles, size=size, tenths=percent, common=common), f"doc_id {kind}, n long, cls long, prefix array<long>"))
-
-    rows = made.where(F.size("prefix") > 0).select("cls", F.explode("prefix").alias("h"))
+    made = cut(docs.mapInArrow(partial(_profiles, size=size, bands=bands_for(percent)), f"doc_id {kind}, n long, cls long, bands array<long>"))
+
+    rows = made.where(F.size("bands") > 0).select("cls", F.explode("bands").alias("h"))
     lists = rows.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("h", "least")
     maybe = components(rows.join(lists, "h").where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")))
     classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
