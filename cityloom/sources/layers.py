@@ -20,7 +20,7 @@ CASE WHEN p_partkey % 6 < 3 THEN NULL ELSE CAST(p_partkey % 130 AS DOUBLE) END A
 #: Square units of 50 m over the extent.
 UNITS = """SELECT CAST(p_partkey - 1 AS BIGINT) AS unit_id, CAST(((p_partkey - 1) % 20) * 50 AS DOUBLE) AS x0, CAST(floor((p_partkey - 1) / 20.0) * 50 AS DOUBLE) AS y0,
 CAST(((p_partkey - 1) % 20) * 50 + 50 AS DOUBLE) AS x1, CAST(floor((p_partkey - 1) / 20.0) * 50 + 50 AS DOUBLE) AS y1, p_partkey % 7 AS zone,
-CAST(p_retailprice AS DOUBLE) AS population FROM part WHERE p_partkey <= 400"""
+CAST(p_retailprice AS DOUBLE) AS population FROM part WHERE p_partkey BETWEEN 1 AND 400"""
 #: Building points.
 POINTS = """SELECT event_id AS id, CAST((event_id * 7919) % 1009 AS DOUBLE) AS x, CAST((event_id * 104729) % 997 AS DOUBLE) AS y, event_type AS kind, value FROM events"""
 #: Values of six products in each unit; some are unknown.
