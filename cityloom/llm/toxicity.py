@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._common import fold_is, pieces, strings, table
+from ._common import cut, fold_is, pieces, strings, table
 
 #: Labelled rows learned from, by label, at most in expectation: the bound of the fit.
 SAMPLE = {0: 4000, 1: 2000}
@@ -105,25 +105,16 @@ class Examples:
         return out
 
 
-def build(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, share: dict[int, float]) -> Examples:
-    """Vocabulary, inverted lists and calibration from sampled documents, given as by ``_counts``."""
-    term, at = np.unique(h, return_inverse=True)
+def build(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, share: dict[int, float], term: np.ndarray, df: np.ndarray) -> Examples:
+    """Inverted lists and calibration from sampled documents, given as by ``_counts``, and
+    the sorted vocabulary with the weighted number of documents that have each term."""
     weight = np.where(label == 1, share.get(1, 1.0), share.get(0, 1.0))
-    a = np.bincount(at, weights=(label[doc] == 1), minlength=len(term))
-    b = np.bincount(at, weights=(label[doc] == 0), minlength=len(term))
-    n1, n0 = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num((n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n1 + n0 - a - b) * n1 * n0))
-    chi[(a / n1 <= b / n0) | (a < 3)] = 0
-    best = np.lexsort((term, -chi))[:MOST_TERMS]
-    best = np.sort(best[chi[best] >= LEAST_CHI2])
-    df = np.bincount(at, weights=weight[doc], minlength=len(term))[best]
     total = weight.sum()
-    ex = Examples(term[best], np.log(1 + (total - df + 0.5) / (df + 0.5)), ids, np.zeros((0, 0)), np.zeros((0, 0)), label, weight)
+    ex = Examples(term, np.log(1 + (total - df + 0.5) / (df + 0.5)), ids, np.zeros((0, 0)), np.zeros((0, 0)), label, weight)
     rows = ex.vectors(doc, h, c, n)
     # Examples with the same strongest term share blocks, which makes the bounds tight.
     order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), -float(rows[i][1].max()), i)), np.int64)
-    lists = np.zeros((len(ex.term) + 1, len(rows)))
+    lists = np.zeros((len(ex.term) + 1, len(rows)), np.float32)
     for k, i in enumerate(order):
         lists[rows[i][0], k] = rows[i][1]
     ex.ids, ex.label, ex.share, ex.lists = ids[order], label[order], weight[order], lists
@@ -144,7 +135,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         doc, h, c, n = _counts(batch.column("text"))
         off = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (h.view(np.int64), c)]
+        lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (h.view(np.int64), c.astype(np.int32))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists, pa.array(n)], ["doc_id", "toxic", "h", "c", "n"])
 
 
@@ -159,14 +150,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     wanted = labels.where(part < F.when(F.col("toxic") == 1, rate.get(1, 0.0)).otherwise(rate.get(0, 0.0)))
     # At most the sample's ids are sent to the executors, whatever the size of the corpus.
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_sampled, f"doc_id {kind}, toxic int, h array<long>, c array<long>, n long")
-    got = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    if not len(got):
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_sampled, f"doc_id {kind}, toxic int, h array<long>, c array<int>, n long")
+    rows = cut(rows.dropDuplicates(["doc_id"]))
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not size:
         return None
-    size = got.h.map(len).to_numpy()
-    doc = np.repeat(np.arange(len(got)), size)
-    h = np.concatenate(got.h.to_list()).astype(np.int64).view(np.uint64)
-    return build(got.doc_id.to_numpy(), doc, h, np.concatenate(got.c.to_list()).astype(float), got.n.to_numpy(), got.toxic.to_numpy(), {k: 1 / r for k, r in rate.items()})
+    # The vocabulary is chosen where the words are; only the chosen ones come to the driver.
+    n1, n0 = (max(1, size.get(k, 0)) for k in (1, 0))
+    words = rows.select("toxic", F.explode("h").alias("h")).groupBy("h").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    chi = f"{n1 + n0}D * pow(a * {n0} - b * {n1}, 2) / ((a + b) * ({n1 + n0}D - a - b + 1e-9) * {n1}D * {n0}D)"
+    best = words.where(f"a >= 3 AND a / {n1} > b / {n0}").withColumn("chi", F.expr(chi).cast("double")).where(F.col("chi") >= LEAST_CHI2)
+    best = best.orderBy(F.desc("chi"), "h").limit(MOST_TERMS).toPandas()
+    term = best.h.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(term)
+    share = {k: 1 / r for k, r in rate.items()}
+    df = (best.a * share.get(1, 1.0) + best.b * share.get(0, 1.0)).to_numpy(float)[order]
+    term = term[order]
+    known = [int(x) for x in term.view(np.int64)]
+    pairs = F.filter(F.arrays_zip("h", "c"), lambda x: x["h"].isin(known)) if known else F.filter(F.arrays_zip("h", "c"), lambda x: F.lit(False))
+    got = rows.select("doc_id", "toxic", "n", pairs.alias("x")).select("doc_id", "toxic", "n", F.col("x.h").alias("h"), F.col("x.c").alias("c")).toPandas().sort_values("doc_id", ignore_index=True)
+    many_ = got.h.map(len).to_numpy()
+    doc = np.repeat(np.arange(len(got)), many_)
+    flat = lambda col, t: np.concatenate([np.asarray(v, t) for v in col])
+    return build(got.doc_id.to_numpy(), doc, flat(got.h, np.int64).view(np.uint64), flat(got.c, float), got.n.to_numpy(), got.toxic.to_numpy(), share, term, df)
 
 
 def _scores(ex: Examples, column: pa.Array) -> tuple[np.ndarray, list, list]:
