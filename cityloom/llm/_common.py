@@ -47,6 +47,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def word_array(t: Column) -> Column:
+    """The words of a text in order, as ``WORD`` finds them.  Plain replacements and a split at
+    one character need no regular expression for each word."""
+    for c in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(t, " "), "")
+
+
 def fold_is(key: Column, remainder: int, modulus: int = 5) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; a null key is in no fold."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, table
+from ._common import WORD, cut, table, word_array
 
 COMMON, MOST_LANGUAGES = 10, 64
 #: Characters of the longest common word: function words are short, and few.
@@ -39,7 +39,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_words`` (an array) and the base counts."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    rows = docs.withColumn("_words", word_array(t))
     n = F.size("_words")
     # Whether equal windows exist is told by primitive hashes; places are needed for few texts.
     hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))))
@@ -87,10 +87,10 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     """Common short words of all languages, and for each language the shares by character
     class and by common word (then all others), over all its texts."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null AND text is not null")
-    words = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w")).where(F.length("w") <= LONGEST)
+    words = rows.select("lang", F.explode(word_array(F.col("text"))).alias("w")).where(F.length("w") <= LONGEST)
     counts = cut(words.groupBy("lang", "w").agg(F.count("*").alias("c")))
     t, n = F.col("text"), len(CLASSES) + 4
-    per = rows.select("lang", F.regexp_count(t, F.lit(WORD)).alias("words"), char_counts(t, F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")), F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).alias("c"))
+    per = rows.withColumn("w", word_array(t)).select("lang", F.size("w").alias("words"), char_counts(t, F.length(F.array_join("w", "")), F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).alias("c"))
     per = per.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("words").alias("words"), *(F.sum(F.col("c")[i]).cast("double").alias(f"c{i}") for i in range(n)))
     per = per.orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES).collect()
     langs = [r["lang"] for r in per]
