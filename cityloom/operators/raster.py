@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityloom.operators.graph import components
+from cityloom.sources.scratch import cut
+
 
 def block_mean(cells: DataFrame, factor: int) -> DataFrame:
     return cells.groupBy("band", F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg("v").alias("v"), F.max("v").alias("top"))
@@ -32,3 +35,37 @@ def mosaic_first(cells: DataFrame, order: list[str]) -> DataFrame:
     """The first band in ``order`` that has a cell gives its value."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("band"))
     return cells.where("v is not null").groupBy("r", "c").agg(F.min_by("v", rank).alias("v"), F.min_by("band", rank).alias("band"))
+
+
+def cell_rects(cells: DataFrame, size: float) -> DataFrame:
+    """Cells with their rectangles x0, y0, x1, y1."""
+    at = lambda c, k: (F.col(c) + k) * F.lit(float(size))
+    return cells.withColumns({"x0": at("c", 0), "y0": at("r", 0), "x1": at("c", 1), "y1": at("r", 1)})
+
+
+def rasterize(rects: DataFrame, size: float) -> DataFrame:
+    """(r, c, touched, centred, last): rectangles that touch each cell's interior, those that
+    hold its centre (half-open), and the largest id, which is the last writer."""
+    along = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.ceil(F.col(hi) / size) - 1))
+    at = rects.where("x0 < x1 AND y0 < y1").withColumn("c", along("x0", "x1")).withColumn("r", along("y0", "y1"))
+    mid = lambda c: (F.col(c) + 0.5) * size
+    centre = (mid("c") >= F.col("x0")) & (mid("c") < F.col("x1")) & (mid("r") >= F.col("y0")) & (mid("r") < F.col("y1"))
+    return at.groupBy("r", "c").agg(F.count("*").alias("touched"), F.count_if(centre).alias("centred"), F.max("id").alias("last"))
+
+
+def patches(cells: DataFrame, width: int) -> DataFrame:
+    """(r, c, patch): 8-connected patches of the given cells of a raster ``width`` wide, named by
+    their least cell number."""
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    own = cells.select((F.col("r") * width + F.col("c")).alias("id"), "r", "c").distinct()
+    far = own.select(F.col("id").alias("a"), "r", F.explode(step).alias("dr"), "c").withColumn("dc", F.explode(step)).where("dr <> 0 OR dc <> 0")
+    far = far.select("a", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"))
+    edges = cut(far.join(own, ["r", "c"]).select("a", F.col("id").alias("b")))
+    return own.join(components(own, edges), "id").select("r", "c", F.col("component").alias("patch"))
+
+
+def tiles(spark: SparkSession, width: int, height: int, size: int, overlap: int) -> DataFrame:
+    """(row, col, y, x): corners of tiles of a fixed size whose neighbours overlap."""
+    step = size - overlap
+    ids = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-(n - overlap) // step) - 1))))
+    return spark.range(1).select(ids(height).alias("row")).select("row", ids(width).alias("col")).select("row", "col", (F.col("row") * step).alias("y"), (F.col("col") * step).alias("x"))

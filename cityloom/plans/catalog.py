@@ -1,51 +1,18 @@
-"""Registered queries, each with SQL that says the same for DuckDB.
-
-A query is a function of (spark, sf_dir); its SQL names layers (see ``sources.layers``)
-and tables, which are put in front as common table expressions.
-"""
+"""Queries of scalars, statistics, windows, joins, rasters and greedy suppression."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions import columns as fx
 from cityloom.operators import graph, raster, spatial, stats
-from cityloom.sources.layers import layer, with_layers
+from cityloom.plans.register import oracle_sql, queries, query, r6, read  # noqa: F401
+from cityloom.sources.layers import layer
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 PRODUCTS = ["AF", "NF", "NO", "RF"]
 
 
-def query(sql: str | None) -> Callable:
-    def add(f: Callable) -> Callable:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = with_layers(sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c) -> F.Column:  # noqa: ANN001
-    return F.round(c, 6)
-
-
 # Scalars and rules ---------------------------------------------------------------------------
 
 _ACC = "concat(n_name, ' Éa-Ó ', n_nationkey)"
@@ -381,3 +348,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = footprint_recency_kept(spark, sf_dir).where("kept").select("id")
     f = layer(spark, sf_dir, "footprints").join(kept, "id").join(height_priority(spark, sf_dir), "id")
     return f.groupBy("src").agg(F.count("*").alias("kept"), F.sum("area").alias("area"), r6(F.median("height")).alias("median_height"))
+
+
+from cityloom.plans import places  # noqa: E402, F401  (registers its queries)

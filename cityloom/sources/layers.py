@@ -46,4 +46,9 @@ def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_layers(sql: str) -> str:
     """SQL for DuckDB: the layers that ``sql`` names as common table expressions."""
     used = [f"{n} AS ({s})" for n, s in LAYERS.items() if re.search(rf"\b{n}\b", sql)]
-    return f"WITH {', '.join(used)} {sql}" if used and not sql.lstrip().upper().startswith("WITH") else sql.replace("WITH ", f"WITH {', '.join(used)}, ", 1) if used else sql
+    if not used:
+        return sql
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(start):
+            return f"{start}{', '.join(used)}, {sql.removeprefix(start)}"
+    return f"WITH {', '.join(used)} {sql}"
