@@ -350,4 +350,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("src").agg(F.count("*").alias("kept"), F.sum("area").alias("area"), r6(F.median("height")).alias("median_height"))
 
 
-from cityloom.plans import places  # noqa: E402, F401  (registers its queries)
+from cityloom.plans import places, regions  # noqa: E402, F401  (register their queries)
