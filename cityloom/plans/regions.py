@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.functions import columns as fx
-from cityloom.operators import partition, spatial
+from cityloom.operators import hulls, partition, spatial
 from cityloom.plans.places import _AREA, _MEET, rook
 from cityloom.plans.register import query, r6, read
 from cityloom.sources.layers import layer
@@ -95,3 +95,10 @@ def knn_distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = spatial.nearest(centres, layer(spark, sf_dir, "points"), 10, 32.0)
     at = lambda k: r6(F.max(F.when(F.col("rank") == k, F.col("dist")))).alias(f"nn{k}")
     return near.groupBy("id").agg(at(1), at(5), at(10), r6(F.avg("dist")).alias("mean10"))
+
+
+@query(None)
+def unit_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of the points of each unit; convex hulls have no SQL."""
+    at = spatial.points_in(layer(spark, sf_dir, "points"), layer(spark, sf_dir, "units"))
+    return hulls.group_shapes(at.select(F.col("b_unit_id").alias("key"), "x", "y")).withColumnRenamed("key", "unit_id")

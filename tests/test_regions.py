@@ -1,11 +1,13 @@
 """Operators without SQL against plain loops, and formats as round trips."""
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cityloom.operators import graph, partition, spatial
+from cityloom.operators import graph, hulls, partition, spatial
 from cityloom.plans import catalog
 from cityloom.sources import files
 
@@ -110,3 +112,27 @@ def test_geojson_and_tables_round_trip(spark, tmp_path):
     assert sorted(files.read_table(spark, f"{tmp_path}/t", "id long, name string, v double").collect()) == sorted(df.collect())
     (tmp_path / "r.xyz").write_text("5 5 1.5\n15, 5, -9\nno line\n25;35;4\n")
     assert {tuple(r) for r in files.read_xyz(spark, f"{tmp_path}/r.xyz", 10, -9).collect()} == {(0, 0, 1.5), (3, 2, 4.0)}
+
+
+def test_hull_shapes_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 30):
+        p = rng.integers(0, 9, (n, 2)).astype(float)
+        h = hulls.hull(p)
+        assert {tuple(c) for c in h} <= {tuple(c) for c in p}
+        for i in range(len(h) if len(h) > 2 else 0):  # every point left of every side
+            a, b = h[i], h[(i + 1) % len(h)]
+            assert ((b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) >= -1e-9).all()
+        r = hulls.least_circle(h)
+        grid = [max(np.hypot(*(p - (x, y)).T)) for x in np.arange(0, 8.01, 0.1) for y in np.arange(0, 8.01, 0.1)]
+        assert r <= min(grid) + 1e-9 <= r + 0.08
+        boxes = []
+        for t in np.linspace(0, math.pi / 2, 2000):
+            u = np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]]) @ p.T
+            boxes.append(np.ptp(u[0]) * np.ptp(u[1]))
+        length, width = hulls.least_rectangle(h)
+        assert length * width <= min(boxes) + 1e-9 and min(boxes) <= length * width + 0.2
+    rows = [(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 2.0, 2.0), (1, 0.0, 2.0), (1, 1.0, 1.0), (2, 5.0, 5.0), (2, None, 1.0)]
+    got = {r["key"]: r for r in hulls.group_shapes(spark.createDataFrame(rows, "key long, x double, y double").repartition(3)).collect()}
+    assert (got[1]["corners"], got[1]["area"], got[1]["length"]) == (4, 4.0, 2.0) and math.isclose(got[1]["reock"], 2 / math.pi)
+    assert got[2]["reock"] is None and got[2]["corners"] == 1
