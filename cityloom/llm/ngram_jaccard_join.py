@@ -1,40 +1,48 @@
 """N-gram Jaccard join: documents whose word-shingle sets overlap by a threshold.
 
-Equal sets are first folded into classes.  Classes that agree in a MinHash band are
-linked to the band's least class and so form candidate clusters; there are enough
-bands that a pair at the threshold agrees in none with a probability under 1e-12, as
-rare as an unlucky hash.  Inside each cluster (in bounded blocks) a T-occurrence search
-counts overlaps exactly: short inverted lists are merged, long ones are probed by
-binary search (DivideSkip), and pairs that reach the required overlap are links.  A
-block gives back one link for each linked member, never all its pairs, and the
-components of those links are those of all links.
-
-Defined results: a null or word-less text has an empty set and is its own
-component; repeated rows and equal texts share a component; a null ``doc_id`` is
-never the least id of a component that has another; an empty table gives no rows;
-columns other than the two named are not read.  Sets and shingles are compared by
-64-bit hashes.
+Partitioning.  Sets are dealt into size classes so wide that a partner at the threshold
+is in the same class or the next.  Two linked sets of a class differ in at most ``k``
+shingles, so if the shingles are dealt into P > k parts, at least P - k parts of the two
+are equal.  The parts of a set are its keys, each with an inverted list of the documents
+that have it, and a link needs P - k common keys: no link is lost, whatever the hashes.
+
+Long lists.  As in DivideSkip, a set leaves out the long ones of its lists as long as
+fewer than P - k of them are left out, so a passage that many documents share brings
+none of them together; only sets with more long lists than that keep them.  Lists that
+remain link their members to the least one, and so cut the corpus into candidate clusters.
+
+Search.  First each member is searched against the least member of its lists, so a large
+group of near copies is linked in linear time.  Where a cluster is not one component yet,
+its members outside the largest component search the whole cluster, in bounded blocks.
+Each search is a T-occurrence search on the full sets: the short inverted lists of a set
+are merged, long ones are probed by binary search, and documents that reach the required
+overlap are links.  A block gives back a spanning set of its links, never all pairs.
+
+Defined results: a null or word-less text has an empty set and is its own component;
+repeated rows and equal texts share a component; a null ``doc_id`` is never the least id
+of a component that has another; rows that repeat a key with different texts are joined
+each for itself; an empty table gives no rows; columns other than the two named are not
+read.  Shingles, sets and keys are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
 from ._bloom import only_keys
-from ._common import cut, pieces, strings, table
+from ._common import cut, free_name, pieces, strings, table
 from ._graph import components
 
-#: Rows of a MinHash band, and how likely a link at the threshold may be to share no band.
-ROWS, MISS = 3, 1e-12
-_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bounds of a block of a candidate cluster: documents, and shingles in all.
+#: Members of a list that is long.
+LONG = 64
+#: Bounds of a block of a search: documents, and shingles in all.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 
 
@@ -52,32 +60,71 @@ def _digest(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _text.mix(out + n.astype(np.uint64)) | np.uint64(1)
 
 
-def bands_for(percent: int) -> int:
-    """Bands needed to miss a link at the threshold with a probability under MISS."""
-    return int(np.ceil(np.log(MISS) / np.log(1 - (percent / 100) ** ROWS)))
+@cache
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each size class its least size, the most shingles ``k`` in which a set of it and
+    a linked set that is no smaller differ, and the parts that its sets are dealt into."""
+    low = [1]
+    while low[-1] < 1 << 40:
+        low.append(100 * low[-1] // percent + 1)
+    low = np.array(low, np.int64)
+    k = (low[1:] - 1) * (100 - percent) // percent
+    spare = np.ones(len(k), np.int64)
+    for _ in range(8):
+        # Empty parts are no keys, so there are as many spare parts as are likely to be empty.
+        parts = k + 1 + spare
+        empty = parts * np.exp(-low[:-1] / parts)
+        spare = np.where(k < 16, 1, np.ceil(empty + 5 * np.sqrt(empty) + 1).astype(np.int64))
+    return low[:-1], k, k + 1 + spare
+
+
+def keys(h: np.ndarray, first: np.ndarray, cls: np.ndarray, k: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and key of the parts of each set, dealt as size class ``cls`` says, with
+    ``k`` and ``parts`` of that class, and how many keys each document can do without.
+    Documents with k = 0 have none: they link with equal sets only.  ``h`` ascends in each
+    document, and so do its parts."""
+    n = np.where(k > 0, np.diff(first), 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
+    own = h[at]
+    part = ((own >> np.uint64(32)) * parts[doc].astype(np.uint64)) >> np.uint64(32)
+    new = np.ones(len(own), bool)
+    new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    value = np.add.reduceat(_text.mix(own ^ np.uint64(0x2545F4914F6CDD1D)), begin) if len(begin) else np.zeros(0, np.uint64)
+    who, part = doc[begin], part[begin]
+    filled = np.bincount(who, minlength=len(n))
+    # So many parts are empty that all equal parts of a linked pair may be: those count as well.
+    extra = [(np.full(int(parts[d]), d), np.setdiff1d(np.arange(parts[d]), part[who == d])) for d in np.flatnonzero((k > 0) & (parts - filled >= parts - k))]
+    if extra:
+        lost = np.concatenate([np.full(len(p), d[0]) for d, p in extra])
+        who, part, value = np.concatenate([who, lost]), np.concatenate([part, *(p.astype(np.uint64) for _, p in extra)]), np.concatenate([value, np.zeros(len(lost), np.uint64)])
+        order = np.argsort(who, kind="stable")
+        who, part, value = who[order], part[order], value[order]
+    return who, np.maximum(0, filled - k - 1), _text.mix(_text.mix(value + part * np.uint64(0x9E3779B97F4A7C15)) + cls[who].astype(np.uint64))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, digest and the band values (once for each digest and piece)."""
+def _profiles(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, set size, digest, and (once for each digest and piece) the keys: those of the
+    own size class, then those of the class before it, with the most that may be left out of each."""
+    low, most, all_parts = size_classes(percent)
     for batch in pieces(batches, "text"):
         h, first = _sets(batch.column("text"), size)
         n = np.diff(first)
-        cls = _digest(h, first)
-        _, once = np.unique(cls, return_index=True)
+        digest = _digest(h, first)
+        _, once = np.unique(digest, return_index=True)
         new = np.zeros(len(n), bool)
         new[once] = True
-        new &= n > 0
-        own = h[np.repeat(new, n)]
-        at = np.cumsum(n[new]) - n[new]
-        value = np.zeros((int(new.sum()), bands), np.uint64)
-        if len(own):
-            for k in range(bands):
-                for r in range(ROWS):
-                    value[:, k] += np.minimum.reduceat(own * _ODD[ROWS * k + r], at) * _ODD[-1 - r]
-                value[:, k] = _text.mix(value[:, k] ^ np.uint64(k))
-        off = np.concatenate(([0], np.cumsum(np.where(new, bands, 0)))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(value.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), lists], ["doc_id", "n", "cls", "bands"])
+        own = np.searchsorted(low, n, side="right") - 1
+        columns = []
+        for cls in (own, own - 1):
+            ok = new & (n > 0) & (cls >= 0)
+            cls = np.maximum(cls, 0)
+            k = np.where(ok, most[cls], 0)
+            who, skip, key = keys(h, first, cls, k, all_parts[cls])
+            off = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(n))))).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(pa.array(off), pa.array(key.view(np.int64))), pa.array(skip)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest.view(np.int64), mask=n == 0), *columns], ["doc_id", "n", "cls", "own", "own_skip", "below", "below_skip"])
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -87,7 +134,7 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def t_occurrence(query: np.ndarray, lists: np.ndarray, at: np.ndarray, need: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def t_occurrence(query: np.ndarray, lists: np.ndarray, at: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Members of at least ``need`` of the inverted lists ``query``: their numbers and counts.
 
     ``lists[at[i]:at[i + 1]]`` is list i in ascending order.  DivideSkip: of the lists by
@@ -101,9 +148,14 @@ def t_occurrence(query: np.ndarray, lists: np.ndarray, at: np.ndarray, need: int
     size = at[short + 1] - at[short]
     total = int(size.sum())
     take = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[short], size)
-    count = np.bincount(lists[take], minlength=n_docs)
-    found = np.flatnonzero(count >= max(1, need - skip))
-    count = count[found]
+    # The lists are ascending runs, which a stable sort merges as they are.
+    merged = np.sort(lists[take], kind="stable")
+    new = np.ones(len(merged), bool)
+    new[1:] = merged[1:] != merged[:-1]
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(merged)))
+    enough = count >= max(1, need - skip)
+    found, count = merged[begin[enough]], count[enough]
     for k, i in enumerate(long):
         if not len(found):
             break
@@ -115,40 +167,67 @@ def t_occurrence(query: np.ndarray, lists: np.ndarray, at: np.ndarray, need: int
     return found, count
 
 
-def _block_links(got: pa.Table, size: int, tenths: int) -> pa.Table:
-    """Links inside one block, or between two, as (member, least linked member)."""
-    same = got.column("bi")[0].as_py() == got.column("bj")[0].as_py()
+def _block_links(got: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links of the sets that search (``asks``) with those that are indexed, as a spanning
+    set of (member, least linked member)."""
     h, first = _sets(got.column("text"), size)
-    cls, once = np.unique(_digest(h, first), return_index=True)
+    asks = np.asarray(got.column("asks").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    cls, number = np.unique(_digest(h, first), return_inverse=True)
+    once = np.zeros(len(cls), np.int64)
+    once[number] = np.arange(len(number))
     n = np.diff(first)[once]
-    order = np.argsort(n, kind="stable")
-    cls, once, n = cls[order], once[order], n[order]
-    left = np.asarray(got.column("left").combine_chunks().to_numpy(zero_copy_only=False), bool)[once]
+    searched, indexed = np.zeros(len(cls), bool), np.zeros(len(cls), bool)
+    searched[number[asks]] = True
+    indexed[number[~asks]] = True
     pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in once]) if len(once) else np.zeros(0, np.int64)
     shingle, ids = np.unique(h[pick], return_inverse=True)
     owner = np.repeat(np.arange(len(n)), n)
     stops = np.concatenate(([0], np.cumsum(n)))
     by = np.lexsort((owner, ids))
-    if not same:  # only the right block is indexed
-        by = by[~left[owner[by]]]
+    by = by[indexed[owner[by]]]
     lists, at = owner[by], np.searchsorted(ids[by], np.arange(len(shingle) + 1))
     parent = list(range(len(n)))
-    for x in range(len(n)):
-        if not n[x] or (not same and not left[x]):
-            continue
-        query = ids[stops[x] : stops[x + 1]]
-        if same:  # in ascending size, only those before x
-            found, count = t_occurrence(query, lists, at, int(-(-tenths * n[x] // 100)), len(n))
-            count, found = count[found < x], found[found < x]
-        else:
-            found, count = t_occurrence(query, lists, at, int(-(-tenths * n[x] // 100)), len(n))
-        for y in found[100 * count >= tenths * (n[x] + n[found] - count)]:
-            a, b = _find(parent, x), _find(parent, int(y))
+    for x in np.flatnonzero(searched & (n > 0)):
+        found, count = t_occurrence(ids[stops[x] : stops[x + 1]], lists, at, int(-(-percent * n[x] // 100)))
+        for y in found[100 * count >= percent * (n[x] + n[found] - count)]:
+            a, b = _find(parent, int(x)), _find(parent, int(y))
             if a != b:
                 parent[max(a, b)] = min(a, b)
     root = np.array([_find(parent, x) for x in range(len(n))], np.int64)
     linked = np.flatnonzero(root != np.arange(len(n)))
-    return pa.table({"a": cls[linked].view(np.int64), "b": cls[root[linked]].view(np.int64)}) if len(n) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    return pa.table({"a": pa.array(cls[linked].view(np.int64)), "b": pa.array(cls[root[linked]].view(np.int64))})
+
+
+def _with_digest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(_digest(*_sets(batch.column("text"), size)).view(np.int64)), batch.column("text")], ["cls", "text"])
+
+
+def _search(docs: DataFrame, roles: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the members of each group.  ``roles``: group, block of the searching
+    sets (qb) and of the indexed ones (ib), asks, cls, and the doc_id of a text with that set."""
+    roles = cut(roles)
+    named = roles.where("doc_id is not null").withColumnRenamed("doc_id", "id").drop("cls")
+    near = only_keys(docs, "doc_id", named.select(F.col("id").alias("key")).distinct())
+    routed = near.join(named, F.col("doc_id") == F.col("id")).select("group", "qb", "ib", "asks", "text")
+    nameless = roles.where("doc_id is null").drop("doc_id")
+    if not nameless.isEmpty():  # texts that only rows with a null key have
+        own = docs.where("doc_id is null").select("text").mapInArrow(partial(_with_digest, size=size), "cls long, text string")
+        own = own.join(nameless.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+        routed = routed.unionByName(own.join(nameless, "cls").select("group", "qb", "ib", "asks", "text"))
+    return cut(routed.groupBy("group", "qb", "ib").applyInArrow(lambda got: _block_links(got, size, percent), "a long, b long"))
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _block_of(many: str) -> Column:
+    return F.pmod(F.xxhash64("cls"), F.col(many)).cast("int")
+
+
+def _every(many: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(many) - 1))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -156,28 +235,44 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
 
     Two documents link when 100 * intersection >= percent * union of their sets of
     distinct ``size``-word shingles."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = cut(docs.mapInArrow(partial(_profiles, size=size, bands=bands_for(percent)), f"doc_id {kind}, n long, cls long, bands array<long>"))
-
-    rows = made.where(F.size("bands") > 0).select("cls", F.explode("bands").alias("h"))
-    lists = rows.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("h", "least")
-    maybe = components(rows.join(lists, "h").where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")))
+    made = cut(docs.mapInArrow(partial(_profiles, size=size, percent=percent), f"doc_id {kind}, n long, cls long, own array<long>, own_skip long, below array<long>, below_skip long"))
     classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    member = cut(maybe.withColumnsRenamed({"node": "cls", "component": "cluster"}).join(classes, "cls"))
-    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    member = member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = member.select("doc_id", "cluster", "block", other.alias("with")).select("doc_id", "cluster", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), (F.col("block") <= F.col("with")).alias("left"))
-    near = only_keys(docs, "doc_id", member.select(F.col("doc_id").alias("key")))
-    routed = near.join(texts.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "bi", "bj", "left", "text")
-    links = routed.groupBy("cluster", "bi", "bj").applyInArrow(lambda got: _block_links(got, size, percent), "a long, b long")
+
+    one = lambda side, skip: F.transform(side, lambda h: F.struct(h.alias("h"), F.lit(side).alias("side"), F.col(skip).alias("skip")))
+    rows = made.where("size(own) > 0 OR size(below) > 0").select("cls", F.explode(F.concat(one("own", "own_skip"), one("below", "below_skip"))).alias("k")).select("cls", "k.*")
+    slim = made.select("cls", F.explode(F.concat("own", "below")).alias("h"))
+    lists = cut(slim.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("many")).where("least < most").select("h", "least", (F.col("many") > LONG).alias("long")))
+    shared = cut(only_keys(rows, "h", lists.select(F.col("h").alias("key"))).join(lists, "h").groupBy("cls", "side", "least", "long").agg(F.countDistinct("h").alias("many"), F.max("skip").alias("skip")))
+    keeps = shared.where("long").groupBy("cls", "side").agg((F.sum("many") > F.max("skip")).alias("keeps")).where("keeps").select("cls", "side")
+    kept = shared.where("NOT long").select("cls", "least").unionAll(shared.where("long").join(keeps, ["cls", "side"], "left_semi").select("cls", "least")).where("cls <> least")
+    edges = cut(kept.distinct())
+
+    cluster = components(edges.select(F.col("cls").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "cls", "component": "cluster"})
+    member = cut(cluster.join(classes, "cls"))
+    hub = edges.groupBy("cls").agg(F.min("least").alias("group"))
+    asking = member.join(hub, "cls").select("group", "cls", "doc_id", "n")
+    many = asking.groupBy("group").agg(_blocks().alias("blocks"))
+    hubs = many.join(member.withColumnRenamed("cls", "group"), "group").select("group", _every("blocks").alias("qb"), F.lit(0).alias("ib"), F.lit(False).alias("asks"), F.col("group").alias("cls"), "doc_id")
+    asking = asking.join(many, "group").select("group", _block_of("blocks").alias("qb"), F.lit(0).alias("ib"), F.lit(True).alias("asks"), "cls", "doc_id")
+    links = _search(docs, hubs.unionByName(asking), size, percent)
+
+    part = components(links).withColumnsRenamed({"node": "cls"})
+    member = cut(member.join(part, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    per = member.groupBy("cluster", "component").agg(F.count("*").alias("many"))
+    open_ = per.groupBy("cluster").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    member = member.join(open_, "cluster")
+    outside = member.where("component <> largest")
+    size_of = member.groupBy("cluster").agg(_blocks().alias("ibs")).join(outside.groupBy("cluster").agg(_blocks().alias("qbs")), "cluster")
+    indexed = member.join(size_of, "cluster").select(F.col("cluster").alias("group"), _every("qbs").alias("qb"), _block_of("ibs").alias("ib"), F.lit(False).alias("asks"), "cls", "doc_id")
+    asking = outside.join(size_of, "cluster").select(F.col("cluster").alias("group"), _block_of("qbs").alias("qb"), _every("ibs").alias("ib"), F.lit(True).alias("asks"), "cls", "doc_id")
+    links = links.unionAll(_search(docs, indexed.unionByName(asking), size, percent))
 
     root = components(links).withColumnsRenamed({"node": "cls"})
-    classes = cut(classes.select("cls", "doc_id").join(root, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id"))
-    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.join(least, "component").select("cls", "component_id")
+    linked = cut(classes.select("cls", "doc_id").join(root, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = linked.join(least, "component").select("cls", "component_id")
     out = made.select("doc_id", "n", "cls").join(of_class, "cls", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -188,7 +283,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller key.  Of repeated
-    rows with one key all stay; rows with a null key stay unless linked to another."""
-    comps = link(docs, key, text, size, percent).groupBy(key).agg(F.min("component_id").alias("_least"))
-    comps = comps.where(~F.col(key).eqNullSafe(F.col("_least"))).select(F.col(key).alias("_gone"))
-    return docs.join(comps, docs[key].eqNullSafe(F.col("_gone")), "left_anti")
+    rows with one key all stay; rows with a null key stay unless linked to another; columns
+    of ``docs`` may have any names."""
+    comps = link(docs, key, text, size, percent).groupBy(F.col(key).alias("k")).agg(F.min("component_id").alias("least"))
+    gone = free_name(docs, "gone")
+    comps = comps.where(~F.col("k").eqNullSafe(F.col("least"))).select(F.col("k").alias(gone))
+    return docs.join(comps, F.col(key).eqNullSafe(F.col(gone)), "left_anti")
