@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, free_name
 
 BITS_PER_KEY, PROBES = 12, 6
 #: 8 MB a filter at most: the bound of what is sent to each task.
@@ -40,8 +40,22 @@ def holds(held: DataFrame, key: Column, level: int, bits: int) -> Column:
     return out
 
 
-def only_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` that may have a key of ``keys(key)``: all that do, and few others,
-    so that a following join shuffles little.  Beyond MOST_BITS more others pass."""
+def may_hold(keys: DataFrame, key: Column) -> Column:
+    """Whether ``key`` may be one of ``keys(key)``: true for all that are, and few others.
+    A filter has at most MOST_BITS bits, so of very many keys more others pass: it saves
+    work only, and exact joins follow it."""
     bits = min(MOST_BITS, bits_for(keys.count()))
-    return df.where(holds(build(keys, 0, bits), F.col(column), 0, bits))
+    return holds(build(keys, 0, bits), key, 0, bits)
+
+
+def only_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` that may have a key of ``keys(key)``, so that a following join shuffles little."""
+    return df.where(may_hold(keys, F.col(column)))
+
+
+def without_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key, null included, is none of ``keys(key)``.  Only the rows
+    that may have one go through a join."""
+    maybe, name = may_hold(keys, F.col(column)), free_name(df, "gone")
+    some = df.where(maybe).join(keys.select(F.col("key").alias(name)), F.col(column).eqNullSafe(F.col(name)), "left_anti")
+    return df.where(~maybe).unionByName(some)
