@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._bloom import only_keys
-from ._common import cut, free_name, pieces, strings, table
+from ._bloom import only_keys, without_keys
+from ._common import cut, pieces, strings, table
 from ._graph import components
 
 #: Members of a list that is long.
@@ -253,7 +253,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     member = cut(cluster.join(classes, "cls"))
     hub = edges.groupBy("cls").agg(F.min("least").alias("group"))
     asking = member.join(hub, "cls").select("group", "cls", "doc_id", "n")
-    many = asking.groupBy("group").agg(_blocks().alias("blocks"))
+    # Tables of groups are materialised, so that joins with a very large group can be split.
+    many = cut(asking.groupBy("group").agg(_blocks().alias("blocks")))
     hubs = many.join(member.withColumnRenamed("cls", "group"), "group").select("group", _every("blocks").alias("qb"), F.lit(0).alias("ib"), F.lit(False).alias("asks"), F.col("group").alias("cls"), "doc_id")
     asking = asking.join(many, "group").select("group", _block_of("blocks").alias("qb"), F.lit(0).alias("ib"), F.lit(True).alias("asks"), "cls", "doc_id")
     links = _search(docs, hubs.unionByName(asking), size, percent)
@@ -261,10 +262,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     part = components(links).withColumnsRenamed({"node": "cls"})
     member = cut(member.join(part, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     per = member.groupBy("cluster", "component").agg(F.count("*").alias("many"))
-    open_ = per.groupBy("cluster").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    open_ = cut(per.groupBy("cluster").agg(F.max_by("component", F.struct("many", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
     member = member.join(open_, "cluster")
     outside = member.where("component <> largest")
-    size_of = member.groupBy("cluster").agg(_blocks().alias("ibs")).join(outside.groupBy("cluster").agg(_blocks().alias("qbs")), "cluster")
+    size_of = cut(member.groupBy("cluster").agg(_blocks().alias("ibs")).join(outside.groupBy("cluster").agg(_blocks().alias("qbs")), "cluster"))
     indexed = member.join(size_of, "cluster").select(F.col("cluster").alias("group"), _every("qbs").alias("qb"), _block_of("ibs").alias("ib"), F.lit(False).alias("asks"), "cls", "doc_id")
     asking = outside.join(size_of, "cluster").select(F.col("cluster").alias("group"), _block_of("qbs").alias("qb"), _every("ibs").alias("ib"), F.lit(True).alias("asks"), "cls", "doc_id")
     links = links.unionAll(_search(docs, indexed.unionByName(asking), size, percent))
@@ -285,7 +286,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """The rows of ``docs`` without those whose component has a smaller key.  Of repeated
     rows with one key all stay; rows with a null key stay unless linked to another; columns
     of ``docs`` may have any names."""
-    comps = link(docs, key, text, size, percent).groupBy(F.col(key).alias("k")).agg(F.min("component_id").alias("least"))
-    gone = free_name(docs, "gone")
-    comps = comps.where(~F.col("k").eqNullSafe(F.col("least"))).select(F.col("k").alias(gone))
-    return docs.join(comps, F.col(key).eqNullSafe(F.col(gone)), "left_anti")
+    comps = link(docs, key, text, size, percent).groupBy(F.col(key).alias("key")).agg(F.min("component_id").alias("least"))
+    return without_keys(docs, key, cut(comps.where(~F.col("key").eqNullSafe(F.col("least"))).select("key")))
