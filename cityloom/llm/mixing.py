@@ -63,9 +63,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 _STEP = """
 aggregate(
   members,
-  cast(null as struct<cur: struct<h: bigint, id: bigint, w: double, p: double>, done: array<struct<id: bigint, copy: int>>>),
+  cast(null as struct<cur: struct<h: bigint, id: {id}, w: double, p: double>, done: array<struct<id: {id}, copy: int>>>),
   (a, x) -> CASE
-    WHEN a IS NULL THEN named_struct('cur', x, 'done', cast(array() as array<struct<id: bigint, copy: int>>))
+    WHEN a IS NULL THEN named_struct('cur', x, 'done', cast(array() as array<struct<id: {id}, copy: int>>))
     ELSE transform(array(named_struct(
         'up', least(a.cur.w * (1 - a.cur.p), x.p * x.w),
         'down', least(a.cur.p * a.cur.w, x.w * (1 - x.p)),
@@ -89,35 +89,37 @@ aggregate(
 
 
 def _level(rows: DataFrame, seed: int) -> DataFrame:
-    """Rows (source, block, h, id, w, p) to one row for each block, with its residual and what is done."""
+    """Rows (source, block, h, id, w, p), with a struct as ``id``, to one row for each block, with its residual and what is done."""
     blocks = rows.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("h", "id", "w", "p"))).alias("members"))
-    return blocks.select("source", "block", F.expr(_STEP.format(seed=seed)).alias("s")).select("source", "block", "s.cur", "s.done")
+    return blocks.select("source", "block", F.expr(_STEP.format(seed=seed, id=rows.schema["id"].dataType.simpleString())).alias("s")).select("source", "block", "s.cur", "s.done")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
     made = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size"))
     # Rows that agree in all three are one unit of n rows: they get the same number of copies.
-    units = cut(made.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("doc_id", "source", "size", F.lit(seed))))
+    units = cut(made.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "size", F.lit(seed))))
     per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
     per = cut(targets(per.select("source", "source_size"), weights, share, most).join(per.select(F.col("source").alias("s"), "units"), F.expr("source <=> s")).drop("s"))
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
     per = per.withColumn("ratio", ratio).withColumnRenamed("source", "s")
     biggest = per.agg(F.max("units")).first()[0] or 1
     of = units.join(per, F.expr("source <=> s")).drop("s").withColumns({"whole": F.floor("ratio").cast("int"), "p": F.col("ratio") - F.floor("ratio")})
-    open_ = of.where("p > 0 AND size > 0").select("source", F.floor((F.pmod(F.xxhash64("id", F.lit("block")), F.lit(1 << 30)) / float(1 << 30)) * F.ceil(F.col("units") / FAN)).cast("long").alias("block"), F.xxhash64("id", F.lit("h")).alias("h"), "id", (F.col("size") * F.col("n")).cast("double").alias("w"), "p")
+    open_ = of.where("p > 0 AND size > 0").select("source", F.floor((F.pmod(F.xxhash64("h", F.lit("block")), F.lit(1 << 30)) / float(1 << 30)) * F.ceil(F.col("units") / FAN)).cast("long").alias("block"), F.xxhash64("h", F.lit("h")).alias("h"), F.struct("doc_id", "size").alias("id"), (F.col("size") * F.col("n")).cast("double").alias("w"), "p")
     done, rows, blocks, step = None, open_, -(-biggest // FAN), 0
     while True:
         at = cut(_level(rows, seed + step))
-        settled = at.select(F.explode("done").alias("d")).select("d.id", "d.copy")
+        settled = at.select("source", F.explode("done").alias("d")).select("source", "d.id", "d.copy")
         done = settled if done is None else done.unionAll(settled)
         if blocks <= 1:
-            last = at.select("cur.id", (F.pmod(F.xxhash64("cur.h", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) < F.col("cur.p")).cast("int").alias("copy"))
+            last = at.select("source", "cur.id", (F.pmod(F.xxhash64("cur.h", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) < F.col("cur.p")).cast("int").alias("copy"))
             done = done.unionAll(last)
             break
         rows = at.select("source", F.floor(F.col("block") / FAN).alias("block"), "cur.h", "cur.id", "cur.w", "cur.p")
         blocks, step = -(-blocks // FAN), step + 1
-    out = of.join(done.select(F.col("id").alias("done_id"), "copy"), F.col("id") == F.col("done_id"), "left")
+    # Joined on all three columns, so that units whose hashes agree stay apart.
+    done = done.select(F.col("source").alias("s"), F.col("id.doc_id").alias("k"), F.col("id.size").alias("z"), "copy")
+    out = of.join(done, F.expr("size = z AND doc_id <=> k AND source <=> s"), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("copy", F.lit(0))).otherwise(0)
     out = out.withColumn("copies", copies.cast("int")).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -131,6 +133,8 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     """The mix itself: the rows of ``docs`` that it takes, with ``copies``, how often.
     A column of that name in ``docs`` is kept; the new one then has an underscore more."""
     name = free_name(docs, "copies")
-    got = mix(docs, key, text, source, **more).where("copies > 0").select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias(name)).distinct()
-    sized = docs.withColumn("_size", words_of(F.col(text)))
-    return sized.join(got, sized[key].eqNullSafe(F.col("_k")) & sized[source].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))).select(*[sized[c] for c in docs.columns], name)
+    sized = docs.withColumn(free_name(docs, "size"), words_of(F.col(text)))
+    size = sized.columns[-1]
+    k, s, n = (free_name(sized, x) for x in ("mix_key", "mix_source", "mix_size"))
+    got = mix(docs, key, text, source, **more).where("copies > 0").select(F.col("doc_id").alias(k), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(name)).distinct()
+    return sized.join(got, F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))).select(*docs.columns, name)
