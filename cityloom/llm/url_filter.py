@@ -7,22 +7,27 @@ key's verdict is that of the first level that rejects it.  For keys of the unive
 this is exact, and judging rows needs no join or shuffle: levels are bit arrays that
 scalar subqueries hand to every task.
 
-A level has at most ``MOST_BITS`` bits, a fixed bound on what is sent.  A list that
-would need more is looked up by an equi-join instead (``listed`` decides by count).
+Keys are dealt into shards by a hash, so many that a shard's first level has about
+``MOST_BITS`` bits at most.  Each shard has a cascade of its own, which judges the rows
+of its keys in a pass of its own, so a task holds the levels of one shard, however long
+the list is.  A list of up to some 5 million keys has one shard, so one pass.
 
 Only DataFrame and SQL functions are used.  Defined results: a null url or one
 without ``://`` has an empty host and path, fits no rule, is never listed, and is
-allowed; repeated rows are judged alike; empty tables and empty lists work; columns
-with clashing names are not touched.
+allowed; repeated rows are judged alike; empty tables and empty lists work, and null and
+empty keys of a list are passed over; columns of the pages keep their names and values,
+and a new column whose name is taken has an underscore more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bloom import MOST_BITS, bits_for, build, holds
-from ._common import ascii_lower, cut, table
+from ._common import ascii_lower, cut, free_name, table
 
 #: (host, path, verdict) of the standard rules.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -69,17 +74,22 @@ class Cascade:
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url", most_bits: int = MOST_BITS) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict.  ``listed(key)`` has the listed
     hosts; a host in it is blocked unless a rule decides."""
-    rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules), rule_of(F.col("host"), F.col("path"), rules, F.lit(True))
+    host, path, rule, inside, verdict = (free_name(pages, x) for x in ("host", "path", "rule", "listed", "verdict"))
+    rows = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     keys = listed.select("key").where("key is not null AND key <> ''").withColumn("listed", F.lit(True))
-    hosts = rows.select(F.col("host").alias("key"), F.lit(False).alias("listed")).where("key <> ''")
+    hosts = rows.select(F.col(host).alias("key"), F.lit(False).alias("listed")).where("key <> ''")
     universe = cut(hosts.unionByName(keys).groupBy("key").agg(F.max("listed").alias("listed")))
-    n = universe.where("listed").count()
-    if bits_for(n) <= most_bits:
-        rows = rows.withColumn("listed", F.when(F.col("host") == "", False).otherwise(Cascade(universe, n).listed(F.col("host"))))
-    else:
-        rows = rows.join(universe.where("listed").withColumnsRenamed({"key": "host"}), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return rows.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
+    shards = max(1, -(-bits_for(universe.where("listed").count()) // most_bits))
+    shard = lambda key: F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+    many = {r["shard"]: r["count"] for r in universe.where("listed").groupBy(shard("key").alias("shard")).count().collect()}
+    parts = []
+    for i in range(shards):
+        cascade = Cascade(universe.where(shard("key") == i), many.get(i, 0))
+        part = rows if shards == 1 else rows.where(shard(host) == i)
+        parts.append(part.withColumn(inside, F.when(F.col(host) == "", False).otherwise(cascade.listed(F.col(host)))))
+    rows = reduce(DataFrame.unionAll, parts)
+    said = rule_of(F.col(host), F.col(path), rules, F.lit(True))
+    return rows.withColumns({rule: rule_of(F.col(host), F.col(path), rules), verdict: F.coalesce(said, F.when(F.col(inside), "block").otherwise("allow"))})
 
 
 def hosts_with_blocked_pages(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url") -> DataFrame:
