@@ -1,19 +1,25 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 A bounded, documented sample of labelled rows (``SAMPLE`` for each label, by a hash
-of the key) gives the examples and the vocabulary: words that toxic examples use
-more than others do, by a chi-square test, and one coordinate for all other words.
-Examples lie in inverted lists cut into blocks; the largest weight of each term in a
-block bounds what any of its examples can score, so blocks are taken in order of
-their bounds until none left can enter the nearest ``NEAREST``.  That gives the
-exact nearest, and all ties of the last.  Votes are weighted by distance and by how
-strongly each label was sampled, and calibrated by a logistic fit to leave-one-out
+of the key) gives the examples and the vocabulary: all words that toxic examples use
+more than others do, by a chi-square test, and one coordinate for all other words.  (On
+all words alike, topics decide who is near: recall 0.63 and precision 0.76 at best on
+sf0.1, held out, where the tested words give 0.90 and 0.99.)  Inverse document
+frequencies are counted over all documents.
+
+Examples lie in inverted lists, one a term, cut into blocks of examples; the largest
+weight of each term in a block bounds what any of its examples can score, so blocks are
+taken in order of their bounds until none left can enter the nearest ``NEAREST``.  That
+gives the exact nearest, and all ties of the last.  Votes are weighted by distance and by
+how strongly each label was sampled, and calibrated by a logistic fit to leave-one-out
 votes of the examples.
 
-Defined results: null and empty texts score as texts of unknown words only; rows
-with a null key are scored and never learned from; labels other than 0 and 1 are not
-learned from; of repeated label rows the larger counts; without examples every score
-is 0; repeated rows get equal scores; other columns are not read.
+Defined results: null and empty texts score as texts of unknown words only, and so do
+all texts of such words alike; rows with a null key are scored and never learned from;
+labels other than 0 and 1, nulls too, are not learned from; of repeated label rows the
+larger counts; rows that repeat a key with other texts are each learned from; without
+examples every score is 0; repeated rows get equal scores; of examples equally near all
+vote, and the first in the order of the lists are named; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +37,9 @@ from ._common import cut, fold_is, pieces, strings, table
 
 #: Labelled rows learned from, by label, at most in expectation: the bound of the fit.
 SAMPLE = {0: 4000, 1: 2000}
-NEAREST, BLOCK, MOST_TERMS, LEAST_CHI2 = 15, 128, 512, 20.0
+NEAREST, BLOCK, LEAST_CHI2 = 15, 128, 20.0
+#: Blocks that are scored at once.
+STEP = 8
 #: Weight of a word outside the vocabulary.
 REST = 0.01
 
@@ -50,10 +58,12 @@ def _counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 @dataclass
 class Examples:
-    term: np.ndarray  #: sorted hashes of the vocabulary
+    term: np.ndarray  #: sorted hashes of the vocabulary; a last list is that of all other words
     idf: np.ndarray
     ids: np.ndarray
-    lists: np.ndarray  #: a row of weights for each term, and the last for all other words
+    member: np.ndarray  #: the lists one after the other: examples in ascending order ...
+    weight: np.ndarray  #: ... and their weights
+    at: np.ndarray  #: where in the lists each term and block begins, and a last column with the ends
     bound: np.ndarray  #: the largest weight of each term in each block
     label: np.ndarray
     share: np.ndarray  #: how many rows an example stands for
@@ -65,15 +75,17 @@ class Examples:
         bounds = weights @ self.bound[terms]
         order = np.argsort(-bounds, kind="stable")
         who, cos, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for at in range(0, len(order), 8):
-            step = order[at : at + 8]
+        for i in range(0, len(order), STEP):
+            step = order[i : i + STEP]
             step = step[bounds[step] >= least - 1e-9]
             if not len(step):
                 break
-            ids = (step[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ids = ids[(ids < len(self.label)) & (ids != skip)]
-            got = weights @ self.lists[np.ix_(terms, ids)]
-            who, cos = np.concatenate([who, ids]), np.concatenate([cos, got])
+            lo = self.at[terms[:, None], step].ravel()
+            size = self.at[terms[:, None], step + 1].ravel() - lo
+            take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            ids, at = np.unique(self.member[take], return_inverse=True)
+            got = np.bincount(at, weights=self.weight[take] * np.repeat(np.repeat(weights, len(step)), size), minlength=len(ids))
+            who, cos = np.concatenate([who, ids[ids != skip]]), np.concatenate([cos, got[ids != skip]])
             if len(cos) > NEAREST:
                 least = np.partition(cos, len(cos) - NEAREST)[len(cos) - NEAREST]
                 keep = cos >= least - 1e-9
@@ -105,21 +117,26 @@ class Examples:
         return out
 
 
-def build(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, share: dict[int, float], term: np.ndarray, df: np.ndarray) -> Examples:
+def build(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, c: np.ndarray, n: np.ndarray, label: np.ndarray, share: dict[int, float], term: np.ndarray, df: np.ndarray, total: int) -> Examples:
     """Inverted lists and calibration from sampled documents, given as by ``_counts``, and
-    the sorted vocabulary with the weighted number of documents that have each term."""
+    the sorted vocabulary with the number of the ``total`` documents that have each term."""
     weight = np.where(label == 1, share.get(1, 1.0), share.get(0, 1.0))
-    total = weight.sum()
-    ex = Examples(term, np.log(1 + (total - df + 0.5) / (df + 0.5)), ids, np.zeros((0, 0)), np.zeros((0, 0)), label, weight)
+    none = np.zeros(0)
+    ex = Examples(term, np.log(1 + (np.maximum(total - df, 0) + 0.5) / (df + 0.5)), ids, none, none, none, none, label, weight)
     rows = ex.vectors(doc, h, c, n)
     # Examples with the same strongest term share blocks, which makes the bounds tight.
     order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), -float(rows[i][1].max()), i)), np.int64)
-    lists = np.zeros((len(ex.term) + 1, len(rows)), np.float32)
-    for k, i in enumerate(order):
-        lists[rows[i][0], k] = rows[i][1]
-    ex.ids, ex.label, ex.share, ex.lists = ids[order], label[order], weight[order], lists
+    terms, weights = (np.concatenate([rows[i][k] for i in order]) for k in (0, 1))
+    who = np.repeat(np.arange(len(order)), [len(rows[i][0]) for i in order])
+    by = np.lexsort((who, terms))
+    terms, ex.member, ex.weight = terms[by], who[by], weights[by]
     blocks = -(-len(rows) // BLOCK)
-    ex.bound = np.stack([lists[:, i * BLOCK : (i + 1) * BLOCK].max(axis=1) for i in range(blocks)], axis=1)
+    cell = terms * blocks + ex.member // BLOCK
+    ex.at = np.searchsorted(cell, np.arange(len(term) + 1)[:, None] * blocks + np.arange(blocks + 1))
+    ex.bound = np.zeros((len(term) + 1) * blocks)
+    np.maximum.at(ex.bound, cell, ex.weight)
+    ex.bound = ex.bound.reshape(-1, blocks)
+    ex.ids, ex.label, ex.share = ids[order], label[order], weight[order]
     votes = np.array([ex.vote(*ex.nearest(*rows[i], skip=k)) for k, i in enumerate(order)])
     x = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
     for _ in range(50):  # Newton steps of a weighted, slightly damped logistic fit
@@ -134,9 +151,22 @@ def build(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, c: np.ndarray, n: np.
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         doc, h, c, n = _counts(batch.column("text"))
-        off = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (h.view(np.int64), c.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists, pa.array(n)], ["doc_id", "toxic", "h", "c", "n"])
+        off = np.searchsorted(doc, np.arange(len(n) + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x)) for x in (h.view(np.int64), c.astype(np.int32))]
+        own = np.concatenate(([np.uint64(0)], np.cumsum(_text.mix(h + c.astype(np.uint64)))))
+        own = (own[off[1:]] - own[off[:-1]]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists, pa.array(n), pa.array(own)], ["doc_id", "toxic", "h", "c", "n", "own"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """In how many documents of this task each term of the vocabulary is."""
+    term = sent.value
+    held = np.zeros(len(term), np.int64)
+    for batch in pieces(batches, "text"):
+        _, h, _, _ = _counts(batch.column("text"))
+        at = np.minimum(np.searchsorted(term, h), len(term) - 1)
+        held += np.bincount(at[term[at] == h], minlength=len(term))
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held)), pa.array(held[held > 0])], ["i", "df"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Examples | None:
@@ -150,29 +180,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     wanted = labels.where(part < F.when(F.col("toxic") == 1, rate.get(1, 0.0)).otherwise(rate.get(0, 0.0)))
     # At most the sample's ids are sent to the executors, whatever the size of the corpus.
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_sampled, f"doc_id {kind}, toxic int, h array<long>, c array<int>, n long")
-    rows = cut(rows.dropDuplicates(["doc_id"]))
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_sampled, f"doc_id {kind}, toxic int, h array<long>, c array<int>, n long, own long")
+    rows = cut(rows.dropDuplicates(["doc_id", "own"]))
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not size:
         return None
-    # The vocabulary is chosen where the words are; only the chosen ones come to the driver.
+    # The vocabulary is chosen where the words are; only the chosen ones come to the driver,
+    # each of which some dozen examples at least have: their number is bounded by the sample.
     n1, n0 = (max(1, size.get(k, 0)) for k in (1, 0))
     words = rows.select("toxic", F.explode("h").alias("h")).groupBy("h").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     chi = f"{n1 + n0}D * pow(a * {n0} - b * {n1}, 2) / ((a + b) * ({n1 + n0}D - a - b + 1e-9) * {n1}D * {n0}D)"
     best = words.where(f"a >= 3 AND a / {n1} > b / {n0}").withColumn("chi", F.expr(chi).cast("double")).where(F.col("chi") >= LEAST_CHI2)
-    best = best.orderBy(F.desc("chi"), "h").limit(MOST_TERMS).toPandas()
-    term = best.h.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(term)
+    term = np.sort(best.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64))
     share = {k: 1 / r for k, r in rate.items()}
-    df = (best.a * share.get(1, 1.0) + best.b * share.get(0, 1.0)).to_numpy(float)[order]
-    term = term[order]
+    df = np.zeros(len(term))
+    if len(term):
+        sent = docs.sparkSession.sparkContext.broadcast(term)
+        for r in docs.select("text").mapInArrow(lambda it: _frequencies(it, sent), "i long, df long").groupBy("i").agg(F.sum("df").alias("df")).collect():
+            df[r["i"]] = r["df"]
+    total = docs.count()
     known = [int(x) for x in term.view(np.int64)]
     pairs = F.filter(F.arrays_zip("h", "c"), lambda x: x["h"].isin(known)) if known else F.filter(F.arrays_zip("h", "c"), lambda x: F.lit(False))
-    got = rows.select("doc_id", "toxic", "n", pairs.alias("x")).select("doc_id", "toxic", "n", F.col("x.h").alias("h"), F.col("x.c").alias("c")).toPandas().sort_values("doc_id", ignore_index=True)
+    got = rows.select("doc_id", "own", "toxic", "n", pairs.alias("x")).select("doc_id", "own", "toxic", "n", F.col("x.h").alias("h"), F.col("x.c").alias("c")).toPandas().sort_values(["doc_id", "own"], ignore_index=True)
     many_ = got.h.map(len).to_numpy()
     doc = np.repeat(np.arange(len(got)), many_)
     flat = lambda col, t: np.concatenate([np.asarray(v, t) for v in col])
-    return build(got.doc_id.to_numpy(), doc, flat(got.h, np.int64).view(np.uint64), flat(got.c, float), got.n.to_numpy(), got.toxic.to_numpy(), share, term, df)
+    return build(got.doc_id.to_numpy(), doc, flat(got.h, np.int64).view(np.uint64), flat(got.c, float), got.n.to_numpy(), got.toxic.to_numpy(), share, term, df, total)
 
 
 def _scores(ex: Examples, column: pa.Array) -> tuple[np.ndarray, list, list]:
