@@ -141,7 +141,7 @@ def test_url_cascade_is_exact(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     listed = url_filter.hosts_with_blocked_pages(pages)
     a = url_filter.judge(pages, listed).toPandas().set_index("page_id").sort_index()
-    b = url_filter.judge(pages, listed, most_bits=0).toPandas().set_index("page_id").sort_index()
+    b = url_filter.judge(pages, listed, most_bits=1024).toPandas().set_index("page_id").sort_index()
     assert a.verdict.tolist() == b.verdict.tolist() and a.listed.tolist() == b.listed.tolist() and 0 < a.listed.sum() < len(a)
     assert a.verdict[[9000, 9003, 9004]].tolist() == ["allow", "allow", "block"] and a.rule[9003] == "www.example.com/en/" and pd.isna(a.rule[9005])
     assert url_filter.judge(pages.limit(0), listed.limit(0)).count() == 0
@@ -176,7 +176,9 @@ def test_toxicity(spark, none):
     assert (held.predicted == (held.doc_id % 8 == 0)).mean() > 0.97
     assert got.predicted[got.doc_id == 900].item() == 0 and got.predicted[got.doc_id == 901].item() == 1 and got.predicted[got.doc_id.isna()].item() == 1
     who, cos = ex.nearest(np.array([0, len(ex.term)]), np.array([0.8, 0.6]))
-    every = np.array([0.8, 0.6]) @ ex.lists[[0, len(ex.term)]]
+    dense = np.zeros((len(ex.term) + 1, len(ex.label)))
+    dense[np.repeat(np.arange(len(dense)), ex.at[:, -1] - ex.at[:, 0]), ex.member] = ex.weight
+    every = np.array([0.8, 0.6]) @ dense[[0, len(ex.term)]]
     assert np.allclose(np.sort(cos)[::-1][: toxicity.NEAREST], np.sort(every)[::-1][: toxicity.NEAREST], atol=1e-6)
     kept = toxicity.accepted(d, lab)
     assert kept.columns == d.columns and kept.where("doc_id = 901 or doc_id is null").count() == 0
