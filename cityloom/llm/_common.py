@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,13 +18,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a
-    temporary one where that is unset (single-machine tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset
+    one below the warehouse; on a single machine, as in tests, a temporary one."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cityloom-"))
+    wanted = sc.getConf().get("spark.checkpoint.dir")
+    if not wanted:
+        wanted = tempfile.mkdtemp(prefix="cityloom-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    sc.setCheckpointDir(wanted)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -38,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go now, not whenever the driver next collects
+    garbage.  Steps whose DataFrames are still held by a caller keep theirs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,10 +71,6 @@ def fold_is(key: Column, remainder: int, modulus: int = 5) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def fold_known(key: Column) -> Column:
-    return key.isNotNull()
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until it clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

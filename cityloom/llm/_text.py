@@ -130,8 +130,3 @@ def distinct_sorted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[keep], np.concatenate(([0], np.cumsum(np.bincount(doc[keep], minlength=len(n))[: len(n)])))
-
-
-def text_of(w: Words, doc_first: int, doc_last: int) -> str:
-    """The bytes from one word's start to another's end, as text."""
-    return w.data[w.start[doc_first] : w.end[doc_last]].tobytes().decode("utf-8", "replace")
