@@ -71,21 +71,33 @@ class Examples:
     shift: float = 0.0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The exact nearest examples, ties included, with their cosines."""
+        """The exact nearest examples, ties included, with their cosines.  The last of ``terms`` is
+        the list of all other words, which every example is in: it is read as a plain array."""
         bounds = weights @ self.bound[terms]
         order = np.argsort(-bounds, kind="stable")
+        rest = self.weight[self.at[-1, 0] :]
+        rows, other = self.at[terms[:-1]], weights[:-1]
         who, cos, least = np.zeros(0, np.int64), np.zeros(0), -1.0
         for i in range(0, len(order), STEP):
             step = order[i : i + STEP]
             step = step[bounds[step] >= least - 1e-9]
             if not len(step):
                 break
-            lo = self.at[terms[:, None], step].ravel()
-            size = self.at[terms[:, None], step + 1].ravel() - lo
-            take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            ids, at = np.unique(self.member[take], return_inverse=True)
-            got = np.bincount(at, weights=self.weight[take] * np.repeat(np.repeat(weights, len(step)), size), minlength=len(ids))
-            who, cos = np.concatenate([who, ids[ids != skip]]), np.concatenate([cos, got[ids != skip]])
+            ids = (step[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            lo = rows[:, step].ravel()
+            size = rows[:, step + 1].ravel() - lo
+            some = np.flatnonzero(size)
+            lo, size = lo[some], size[some]
+            ends = np.cumsum(size)
+            got = np.zeros(len(ids))
+            if len(ends):
+                take = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
+                slot = np.repeat(some % len(step) * BLOCK, size) + self.member[take] % BLOCK
+                got = np.bincount(slot, weights=self.weight[take] * np.repeat(other[some // len(step)], size), minlength=len(ids))
+            keep = ids < len(rest)
+            keep[keep] &= ids[keep] != skip
+            ids, got = ids[keep], got[keep]
+            who, cos = np.concatenate([who, ids]), np.concatenate([cos, got + weights[-1] * rest[ids]])
             if len(cos) > NEAREST:
                 least = np.partition(cos, len(cos) - NEAREST)[len(cos) - NEAREST]
                 keep = cos >= least - 1e-9
