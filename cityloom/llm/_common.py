@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,11 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again.  Unlike a checkpoint the result holds
+    nothing of the steps before it, so that ``release`` can let their shuffle files go."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let the shuffle files of finished steps go now, not whenever the driver next collects
-    garbage.  Steps whose DataFrames are still held by a caller keep theirs."""
+    garbage.  Steps whose DataFrames (or checkpoints of them) are still held keep theirs."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references are given back to the driver a moment later
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
