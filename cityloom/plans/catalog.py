@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions import columns as fx
-from cityloom.operators import graph, raster, spatial, stats
+from cityloom.operators import graph, joins, raster, spatial, stats
 from cityloom.plans.register import oracle_sql, queries, query, r6, read  # noqa: F401
 from cityloom.sources.layers import layer
 
@@ -73,20 +73,6 @@ def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer(spark, sf_dir, "footprints").select("id", r6(fx.compactness(F.col("area"), 2 * (F.col("x1") - x0 + F.col("y1") - y0))).alias("compact"), r6(fx.rel_diff(x0, y0)).alias("diff"), fx.utm_epsg(x0 / 3 - 160, y0 - 500).alias("epsg"))
 
 
-@query("SELECT id, coalesce(h3 > 60 AND NOT (brand = 'Brand#11') AND NOT (src IS NOT DISTINCT FROM 1), FALSE) AS rule_a, coalesce(h2 < 5 AND (src <> 1 OR year > 2010), FALSE) AS rule_b FROM footprints")
-def false_positive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    no = F.lit(False)
-    a = F.coalesce((F.col("h3") > 60) & (F.col("brand") != "Brand#11") & ~F.col("src").eqNullSafe(1), no)
-    b = F.coalesce((F.col("h2") < 5) & ((F.col("src") != 1) | (F.col("year") > 2010)), no)
-    return layer(spark, sf_dir, "footprints").select("id", a.alias("rule_a"), b.alias("rule_b"))
-
-
-@query("SELECT unit_id, CAST(CASE WHEN zone IN (1, 2) AND population > 1000 THEN 1 WHEN zone = 3 AND population > 900 THEN 2 WHEN zone = 4 THEN 3 ELSE 0 END AS INT) AS code FROM units")
-def screening_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z, p = F.col("zone"), F.col("population")
-    return layer(spark, sf_dir, "units").select("unit_id", F.when(z.isin(1, 2) & (p > 1000), 1).when((z == 3) & (p > 900), 2).when(z == 4, 3).otherwise(0).alias("code"))
-
-
 # Statistics ----------------------------------------------------------------------------------
 
 _GROUPS = "SELECT *, unnest(CASE WHEN population < 1000 THEN ['all', 'small'] ELSE ['all', 'large'] END) AS grp FROM units"
@@ -225,12 +211,13 @@ def neighbours_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.points_within(layer(spark, sf_dir, "points"), 15.0).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), r6(F.avg("dist")).alias("mean_dist"), r6(F.min("dist")).alias("least_dist"))
 
 
-@query("SELECT a.id AS id, n1, n2 FROM (SELECT unit_id AS id, v AS n1 FROM products WHERE product = 'AF') a FULL JOIN (SELECT unit_id AS id2, v AS n2 FROM products WHERE product = 'NF' AND unit_id % 2 = 0) b ON a.id = b.id2 WHERE a.id IS NOT NULL")
+@query("""SELECT coalesce(a.id, b.id, c.id) AS id, n1, n2, n3 FROM (SELECT unit_id AS id, v AS n1 FROM products WHERE product = 'AF' AND unit_id % 3 <> 0) a FULL JOIN (SELECT unit_id AS id, v AS n2 FROM products WHERE product = 'NF' AND unit_id % 2 = 0) b ON a.id = b.id
+FULL JOIN (SELECT unit_id AS id, v AS n3 FROM products WHERE product = 'RF' AND unit_id % 5 > 1) c ON coalesce(a.id, b.id) = c.id""")
 def outer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer joins of tables that each lack some keys."""
     p = layer(spark, sf_dir, "products")
-    a = p.where("product = 'AF'").select(F.col("unit_id").alias("id"), F.col("v").alias("n1"))
-    b = p.where("product = 'NF' AND unit_id % 2 = 0").select(F.col("unit_id").alias("id"), F.col("v").alias("n2"))
-    return a.join(b, "id", "left")
+    part = lambda product, has, name: p.where((F.col("product") == product) & F.expr(has)).select(F.col("unit_id").alias("id"), F.col("v").alias(name))
+    return joins.outer_chain([part("AF", "unit_id % 3 <> 0", "n1"), part("NF", "unit_id % 2 = 0", "n2"), part("RF", "unit_id % 5 > 1", "n3")], "id")
 
 
 @query("SELECT brand, id FROM (SELECT brand, id, row_number() OVER (PARTITION BY brand ORDER BY (id % 2) DESC, (src = 1) DESC, area DESC, id) AS k FROM footprints) WHERE k = 1")
@@ -274,10 +261,10 @@ def nested_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.rect_pairs(f, f).where("a_id <> b_id AND a_x0 >= b_x0 AND a_x1 <= b_x1 AND a_y0 >= b_y0 AND a_y1 <= b_y1 AND b_area > a_area").select(F.col("b_id").alias("id")).distinct()
 
 
-@query("SELECT zone, CAST(sum(CASE WHEN n THEN 1 ELSE 0 END) AS BIGINT) AS ones, CASE WHEN sum(CASE WHEN n THEN 1 ELSE 0 END) * 2 > count(*) THEN 1 WHEN sum(CASE WHEN n THEN 1 ELSE 0 END) * 2 < count(*) THEN 0 END AS major FROM (SELECT zone, population > 1000 AS n FROM units) GROUP BY zone")
+@query("SELECT zone, CAST(sum(CASE WHEN n THEN 1 ELSE 0 END) AS BIGINT) AS ones, CASE WHEN sum(CASE WHEN n THEN 1 ELSE 0 END) * 2 > count(*) THEN 1 WHEN sum(CASE WHEN n THEN 1 ELSE 0 END) * 2 < count(*) THEN 0 END AS major, sum(CASE WHEN n THEN 1 ELSE 0 END) * 2 = count(*) AS tie FROM (SELECT zone, population > 750 AS n FROM units) GROUP BY zone")
 def majority_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ones = F.count_if(F.col("population") > 1000)
-    return layer(spark, sf_dir, "units").groupBy("zone").agg(ones.alias("ones"), F.when(ones * 2 > F.count("*"), 1).when(ones * 2 < F.count("*"), 0).alias("major"))
+    ones = F.count_if(F.col("population") > 750)
+    return layer(spark, sf_dir, "units").groupBy("zone").agg(ones.alias("ones"), F.when(ones * 2 > F.count("*"), 1).when(ones * 2 < F.count("*"), 0).alias("major"), (ones * 2 == F.count("*")).alias("tie"))
 
 
 @query("SELECT a.unit_id AS src, b.unit_id AS dst, CAST(50 AS DOUBLE) AS len FROM units a JOIN units b ON a.unit_id < b.unit_id AND ((a.x1 = b.x0 AND a.y0 = b.y0) OR (a.y1 = b.y0 AND a.x0 = b.x0))")
@@ -350,4 +337,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("src").agg(F.count("*").alias("kept"), F.sum("area").alias("area"), r6(F.median("height")).alias("median_height"))
 
 
-from cityloom.plans import places, regions  # noqa: E402, F401  (register their queries)
+from cityloom.plans import places, rasters, regions, rules, segments, shapes, tables  # noqa: E402, F401  (register their queries)

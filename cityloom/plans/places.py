@@ -15,7 +15,8 @@ _MEET = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
 _AREA = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 _RECTS = "SELECT *, c * 16::DOUBLE AS x0, r * 16::DOUBLE AS y0, c * 16::DOUBLE + 16 AS x1, r * 16::DOUBLE + 16 AS y1 FROM cells"
 _ROOK = "SELECT a.unit_id AS a, b.unit_id AS b FROM units a JOIN units b ON abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 50"
-_HIGH, _WIDTH = 90, 64
+#: A cell is high over this; cell numbers are r * _WIDTH + c, with room for any raster.
+_HIGH, _WIDTH = 60, 1 << 20
 
 # Neighbourhoods ------------------------------------------------------------------------------
 
@@ -115,14 +116,16 @@ def missing_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer(spark, sf_dir, "cells").where("band = 'A' AND v > 0").join(built, ["r", "c"], "left_anti").select("r", "c", "v")
 
 
-@query(f"""WITH RECURSIVE h AS (SELECT r, c, v FROM cells WHERE band = 'A' AND v > {_HIGH}), e AS (SELECT a.r * 64 + a.c AS a, b.r * 64 + b.c AS b FROM h a JOIN h b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
-t AS (SELECT r * 64 + c AS id, r * 64 + c AS p FROM h UNION SELECT e.b, t.p FROM t JOIN e ON e.a = t.id), m AS (SELECT id, min(p) AS patch FROM t GROUP BY id)
-SELECT patch, count(*) AS n, sum(v) AS total, CAST(rank() OVER (ORDER BY sum(v) DESC, patch) AS INT) AS place FROM m JOIN h ON h.r * 64 + h.c = m.id GROUP BY patch HAVING count(*) >= 2 AND bool_and(r BETWEEN 1 AND 62 AND c BETWEEN 1 AND 62) ORDER BY place LIMIT 20""")
+@query(f"""WITH RECURSIVE h AS (SELECT r, c, v FROM cells WHERE band = 'A' AND v > {_HIGH}), e AS (SELECT a.r * {_WIDTH} + a.c AS a, b.r * {_WIDTH} + b.c AS b FROM h a JOIN h b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+t AS (SELECT r * {_WIDTH} + c AS id, r * {_WIDTH} + c AS p FROM h UNION SELECT e.b, t.p FROM t JOIN e ON e.a = t.id), m AS (SELECT id, min(p) AS patch FROM t GROUP BY id)
+SELECT patch, count(*) AS n, sum(v) AS total, CAST(rank() OVER (ORDER BY sum(v) DESC, patch) AS INT) AS place FROM m JOIN h ON h.r * {_WIDTH} + h.c = m.id CROSS JOIN (SELECT max(r) AS mr, max(c) AS mc FROM cells) GROUP BY patch HAVING count(*) >= 2 AND bool_and(r > 0 AND r < mr AND c > 0 AND c < mc) ORDER BY place LIMIT 20""")
 def gap_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 patches of two high cells or more, off the edge, with the largest sums."""
-    high = layer(spark, sf_dir, "cells").where(f"band = 'A' AND v > {_HIGH}").select("r", "c", "v")
-    inner = F.bool_and(F.col("r").between(1, _WIDTH - 2) & F.col("c").between(1, _WIDTH - 2))
-    sums = raster.patches(high, _WIDTH).join(high, ["r", "c"]).groupBy("patch").agg(F.count("*").alias("n"), F.sum("v").alias("total"), inner.alias("inner"))
+    cells = layer(spark, sf_dir, "cells")
+    high = cells.where(f"band = 'A' AND v > {_HIGH}").select("r", "c", "v")
+    edge = F.broadcast(cells.agg(F.max("r").alias("mr"), F.max("c").alias("mc")))  # one row
+    inner = F.bool_and((F.col("r") > 0) & (F.col("r") < F.col("mr")) & (F.col("c") > 0) & (F.col("c") < F.col("mc")))
+    sums = raster.patches(high, _WIDTH).join(high, ["r", "c"]).crossJoin(edge).groupBy("patch").agg(F.count("*").alias("n"), F.sum("v").alias("total"), inner.alias("inner"))
     kept = sums.where("n >= 2 AND inner").drop("inner").orderBy(F.desc("total"), "patch").limit(20)
     return kept.withColumn("place", F.rank().over(Window.orderBy(F.desc("total"), "patch")))
 
@@ -160,26 +163,38 @@ def ring_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT sqrt(2 * 40000 / (3 * sqrt(3))) AS side) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(i * 1.5 * side, 6) AS x, round((j + i % 2 / 2) * sqrt(3) * side, 6) AS y
-FROM s, range(0, 100) a(i), range(0, 100) b(j) WHERE i < ceil(1000 / (1.5 * side)) + 1 AND j < ceil(1000 / (sqrt(3) * side)) + 1""")
+FROM s, (SELECT max(x1) AS w, max(y1) AS h FROM units), range(0, 1000) a(i), range(0, 1000) b(j) WHERE i < ceil(w / (1.5 * side)) + 1 AND j < ceil(h / (sqrt(3) * side)) + 1""")
 def hex_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.hex_grid(spark, 1000, 1000, 40000).withColumns({"x": r6("x"), "y": r6("y")})
+    """Centres of hexagons of 4 ha over the extent of the units."""
+    w, h = layer(spark, sf_dir, "units").agg(F.max("x1"), F.max("y1")).first()
+    return spatial.hex_grid(spark, w or 0, h or 0, 40000).withColumns({"x": r6("x"), "y": r6("y")})
 
 
-@query("SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(r * 448 AS INT) AS y, CAST(c * 448 AS INT) AS x FROM range(0, 5) a(r), range(0, 4) b(c)")
+@query("""WITH e AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM cells) SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(i * 24 AS INT) AS y, CAST(j * 24 AS INT) AS x, CAST(greatest(0, i * 24 + 32 - h) AS INT) AS pad_y, CAST(greatest(0, j * 24 + 32 - w) AS INT) AS pad_x
+FROM e, range(0, 10000) a(i), range(0, 10000) b(j) WHERE (i = 0 OR i * 24 + 8 < h) AND (j = 0 OR j * 24 + 8 < w)""")
 def raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.tiles(spark, 1800, 2304, 512, 64)
+    """Tiles of 32 cells that share 8 with their neighbours, over the raster, with the padding of the last ones."""
+    h, w = layer(spark, sf_dir, "cells").agg(F.max("r") + 1, F.max("c") + 1).first()
+    pad = lambda at, n: F.greatest(F.lit(0), F.col(at) + 32 - n).cast("int")
+    return raster.tiles(spark, w or 0, h or 0, 32, 8).withColumns({"pad_y": pad("y", h or 0), "pad_x": pad("x", w or 0)})
 
 
 # Runs, votes and summaries -------------------------------------------------------------------
 
 
-@query("SELECT unit_id, CASE WHEN unit_id % 5 <> 0 THEN unit_id + 1000 END AS old_id, unit_id % 5 = 0 AS changed FROM units")
+_KEY = "round((x0 + x1) / 2, 2) AS kx, round((y0 + y1) / 2, 2) AS ky, round((x1 - x0) * (y1 - y0), 1) AS ka, round(2 * (x1 - x0 + y1 - y0), 1) AS kp"
+
+
+@query(f"""WITH o AS (SELECT unit_id + 1000 AS old_id, {_KEY} FROM (SELECT unit_id, x0, y0, x1 + CASE WHEN unit_id % 5 = 0 THEN 3 ELSE 0.0004 END AS x1, y1 FROM units)), n AS (SELECT unit_id, {_KEY} FROM units)
+SELECT unit_id, old_id, old_id IS NULL AS changed FROM n LEFT JOIN o USING (kx, ky, ka, kp)""")
 def geometry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of a former run with the same rounded centre and area; the others have changed."""
+    """Units of a former run with the same rounded centre, area and perimeter; the others have changed."""
     u = layer(spark, sf_dir, "units")
-    key = lambda df: df.withColumns({"kx": F.round((F.col("x0") + F.col("x1")) / 2, 2), "ky": F.round((F.col("y0") + F.col("y1")) / 2, 2), "ka": F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 1)})
-    old = key(u.where("unit_id % 5 <> 0").withColumn("x1", F.col("x1") + 0.0004)).select((F.col("unit_id") + 1000).alias("old_id"), "kx", "ky", "ka")
-    return key(u).join(old, ["kx", "ky", "ka"], "left").select("unit_id", "old_id", F.col("old_id").isNull().alias("changed"))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    key = lambda df: df.withColumns({"kx": F.round((F.col("x0") + F.col("x1")) / 2, 2), "ky": F.round((F.col("y0") + F.col("y1")) / 2, 2), "ka": F.round(w * h, 1), "kp": F.round(2 * (w + h), 1)})
+    moved = u.withColumn("x1", F.col("x1") + F.when(F.col("unit_id") % 5 == 0, 3).otherwise(0.0004))
+    old = key(moved).select((F.col("unit_id") + 1000).alias("old_id"), "kx", "ky", "ka", "kp")
+    return key(u).join(old, ["kx", "ky", "ka", "kp"], "left").select("unit_id", "old_id", F.col("old_id").isNull().alias("changed"))
 
 
 @query("""SELECT brand, vote, weight FROM (SELECT brand, src AS vote, sum(area) AS weight, row_number() OVER (PARTITION BY brand ORDER BY sum(area) DESC, src) AS k FROM footprints GROUP BY brand, src) WHERE k = 1""")
@@ -188,13 +203,6 @@ def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.first_by(sums, "brand", F.desc("weight"), "src").select("brand", F.col("src").alias("vote"), "weight")
 
 
-@query("SELECT unit_id, CASE WHEN p % 2 = 0 THEN 2 WHEN p % 3 = 0 THEN 3 WHEN p % 4 = 0 THEN 4 WHEN p % 5 = 0 THEN 5 ELSE 0 END::INT AS k FROM (SELECT unit_id, CAST(floor(population) AS BIGINT) AS p FROM units)")
-def candidate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first k in 2..5 that passes, else 0."""
-    first = F.coalesce(*(F.when(F.floor("population") % k == 0, k) for k in range(2, 6)), F.lit(0))
-    return layer(spark, sf_dir, "units").select("unit_id", first.alias("k"))
-
-
 @query("SELECT src, year, CAST(grouping(src) * 2 + grouping(year) AS INT) AS level, count(*) AS n, sum(area) AS area, round(median(area), 6) AS med FROM footprints GROUP BY ROLLUP (src, year)")
 def portfolio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer(spark, sf_dir, "footprints").rollup("src", "year").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.sum("area").alias("area"), r6(F.median("area")).alias("med"))

@@ -6,6 +6,7 @@ and tables, which are put in front as common table expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def _counted(sql: str) -> str:
+    """Counts of conditions as BIGINT, as Spark has them."""
+    return re.sub(r"count_if\(((?:[^()]|\([^()]*\))*)\)", r"CAST(count_if(\1) AS BIGINT)", sql)
+
+
 def query(sql: str | None) -> Callable:
     def add(f: Callable) -> Callable:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = with_layers(sql)
+            _SQL[f.__name__] = with_layers(_counted(sql))
         return f
 
     return add

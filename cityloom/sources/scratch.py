@@ -10,5 +10,8 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cityloom-"))
+        wanted = sc.getConf().get("spark.checkpoint.dir")
+        if not wanted:  # executors of a cluster see the warehouse, but no temporary folder of the driver
+            wanted = tempfile.mkdtemp(prefix="cityloom-") if sc.master.startswith("local") else f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        sc.setCheckpointDir(wanted)
     return df.checkpoint()
