@@ -43,3 +43,12 @@ def replace_parents(parents: DataFrame, children: DataFrame, key: str, parent: s
     """Parents that have children give way to them; ``is_child`` and ``parent`` keep the lineage."""
     kept = parents.join(children.select(F.col(parent).alias(key)).distinct(), key, "left_anti").withColumns({"is_child": F.lit(False), parent: F.lit(None).cast(children.schema[parent].dataType)})
     return kept.unionByName(children.withColumn("is_child", F.lit(True)))
+
+
+def names_inside(names: DataFrame, name: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of both tables where a name holds a part, by an equi join on the distinct pieces of
+    each name: names are short, so their pieces are few, and no pair is made that does not match."""
+    n = F.length(name)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col(name), i, k))))
+    cut = names.where(n > 0).withColumn("_piece", F.explode(F.array_distinct(pieces)))
+    return cut.join(parts.where(F.length(part) > 0), F.col("_piece") == F.col(part)).drop("_piece")

@@ -28,7 +28,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ka"), fx.normalize_text(F.col("n_name")).alias("na"))
     b = a.select(F.col("ka").alias("kb"), F.substring("na", 1, 5).alias("nb"))
-    return a.join(F.broadcast(b), fx.name_matches(F.col("na"), F.col("nb"))).select("ka", "kb")
+    return joins.names_inside(a, "na", b, "nb").select("ka", "kb").union(joins.names_inside(b, "nb", a, "na").select("ka", "kb")).distinct()
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey % 90 AS INT) AS version FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 4 = 0")
@@ -255,9 +255,13 @@ def footprint_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a_id").alias("id")).agg(F.bool_or((s >= 1) & (s >= 0.35 * F.least("a_area", "b_area"))).alias("supported"))
 
 
-@query("SELECT DISTINCT b.id FROM footprints a JOIN footprints b ON a.id <> b.id AND a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AND b.area > a.area")
+_COURTS = "SELECT id, x0, y0, x1, y1, area FROM footprints UNION ALL SELECT id + 1000000, x0 + 1, y0 + 1, x1 - 1, y1 - 1, (x1 - x0 - 2) * (y1 - y0 - 2) FROM footprints WHERE id % 10 = 0"
+
+
+@query(f"WITH f AS ({_COURTS}) SELECT DISTINCT b.id FROM f a JOIN f b ON a.id <> b.id AND a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AND b.area > a.area")
 def nested_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = layer(spark, sf_dir, "footprints")
+    """Of footprints and courts inside some of them, those that contain another."""
+    f = spark.sql(_COURTS.replace("FROM footprints", "FROM {f}"), f=layer(spark, sf_dir, "footprints"))
     return spatial.rect_pairs(f, f).where("a_id <> b_id AND a_x0 >= b_x0 AND a_x1 <= b_x1 AND a_y0 >= b_y0 AND a_y1 <= b_y1 AND b_area > a_area").select(F.col("b_id").alias("id")).distinct()
 
 
