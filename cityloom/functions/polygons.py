@@ -83,8 +83,13 @@ def overlay(polygons: list[Polygon], wanted: Callable[[np.ndarray], bool]) -> np
         at = lambda y: e[on, 0] + (y - e[on, 1]) * slope  # noqa: B023, E731
         left, right, middle = at(lo), at(hi), at(mid)
         inside, open_ = np.zeros(len(polygons), bool), None
-        for k in np.argsort(middle, kind="stable"):
+        order = np.argsort(middle, kind="stable")
+        # Edges that lie on one another count as one place, so that polygons side by side join.
+        last = np.append(np.diff(middle[order]) > SNAP, True)
+        for k, ends in zip(order, last, strict=True):
             inside[whose[on[k]]] ^= True
+            if not ends:
+                continue
             now = bool(wanted(inside))
             if now and open_ is None:
                 open_ = k
@@ -147,7 +152,7 @@ def rings(t: np.ndarray) -> Polygon:
             if at == start:
                 break
         ring = straight(np.array(ring))
-        if len(ring) > 2 and abs(ring_area(ring)) > 1e-9:
+        if len(ring) > 2 and abs(ring_area(ring)) > 1e-4:  # less is what rounding leaves
             found.append(ring)
     return found
 
