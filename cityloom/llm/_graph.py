@@ -30,6 +30,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     reversed edges are harmless; no edges give no rows.  Stops when a round changes
     nothing, which takes rounds in the order of the logarithm of the longest path."""
     now = cut(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     seen = None
     for _ in range(most_rounds):
         now = cut(_star(_star(now, large=True), large=False))

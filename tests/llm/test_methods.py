@@ -156,7 +156,7 @@ def test_divergences_equal_plain_histograms(spark, monkeypatch):
     assert not got[100].kept_ and not got[100].base_failed and math.isclose(js(hist(Counter(split(rows[-4][1])), 200), refs["en"]), quality_rules.bare_distance(1 - refs["en"][-1]), abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("rows", [[], [(None, None, None, None)], [(1, "", "en", "a"), (1, "", "en", "a"), (None, "x", None, None)]])
+@pytest.mark.parametrize("rows", [[], [(1, "", "en", "a"), (1, "", "en", "a"), (None, "x", None, None), (None, None, None, None)]])
 def test_pipeline_stages_take_hostile_tables(spark, rows):
     import corpus_pipeline
 
