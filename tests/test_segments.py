@@ -110,6 +110,23 @@ def test_region_merge_keeps_people_and_reruns_agree(spark):
     assert one[one.zone == 1].set_index("id").region.to_dict() == segments.merge_run(frame, near, best)[0]
 
 
+def test_spanning_trees_inside_zones(spark):
+    frame, near = grid(5, 2)
+    rng = random.Random(1)
+    w = {(a, b): rng.random() for a in near for b in near[a] if a < b}
+    part, kept = segments.kruskal(list(near), [(a, b, x) for (a, b), x in w.items()])
+    assert set(part.values()) == {0} and len(kept) == 24
+    units = spark.createDataFrame([(i, i // 10) for i in near], "id long, zone long")
+    edges = spark.createDataFrame([(a, b, x) for (a, b), x in w.items()] + [(b, a, x) for (a, b), x in w.items()], "a long, b long, w double")
+    got = segments.zone_trees(units.repartition(3), edges).collect()
+    for zone in (0, 1, 2):
+        ids = [i for i in near if i // 10 == zone]
+        part, kept = segments.kruskal(ids, [(a, b, x) for (a, b), x in w.items() if a // 10 == b // 10 == zone])
+        rows = [r for r in got if r["id"] in part]
+        assert {r["id"]: r["component"] for r in rows} == part
+        assert sorted((r["id"], t["b"], t["s"]) for r in rows for t in r["tree"]) == sorted(kept)
+
+
 def test_tree_cuts():
     nodes = list(range(10))
     edges = [(i, i + 1, 1.0 if i != 3 else 5.0) for i in range(9)]
