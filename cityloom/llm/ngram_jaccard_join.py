@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._bloom import only_keys, without_keys
-from ._common import cut, pieces, strings, table
+from ._common import cut, pieces, release, strings, table
 from ._graph import components
 
 #: Members of a list that is long.
@@ -237,6 +237,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     distinct ``size``-word shingles."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    release(docs.sparkSession)  # many small queries follow, whose plans the driver holds until it collects garbage
     made = cut(docs.mapInArrow(partial(_profiles, size=size, percent=percent), f"doc_id {kind}, n long, cls long, own array<long>, own_skip long, below array<long>, below_skip long"))
     classes = made.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
 
@@ -248,6 +249,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     keeps = shared.where("long").groupBy("cls", "side").agg((F.sum("many") > F.max("skip")).alias("keeps")).where("keeps").select("cls", "side")
     kept = shared.where("NOT long").select("cls", "least").unionAll(shared.where("long").join(keeps, ["cls", "side"], "left_semi").select("cls", "least")).where("cls <> least")
     edges = cut(kept.distinct())
+    release(docs.sparkSession)
 
     cluster = components(edges.select(F.col("cls").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "cls", "component": "cluster"})
     member = cut(cluster.join(classes, "cls"))
@@ -259,6 +261,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     asking = asking.join(many, "group").select("group", _block_of("blocks").alias("qb"), F.lit(0).alias("ib"), F.lit(True).alias("asks"), "cls", "doc_id")
     links = _search(docs, hubs.unionByName(asking), size, percent)
 
+    release(docs.sparkSession)
     part = components(links).withColumnsRenamed({"node": "cls"})
     member = cut(member.join(part, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     per = member.groupBy("cluster", "component").agg(F.count("*").alias("many"))
@@ -270,6 +273,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     asking = outside.join(size_of, "cluster").select(F.col("cluster").alias("group"), _block_of("qbs").alias("qb"), _every("ibs").alias("ib"), F.lit(True).alias("asks"), "cls", "doc_id")
     links = links.unionAll(_search(docs, indexed.unionByName(asking), size, percent))
 
+    release(docs.sparkSession)
     root = components(links).withColumnsRenamed({"node": "cls"})
     linked = cut(classes.select("cls", "doc_id").join(root, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
