@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
@@ -15,23 +17,51 @@ from cityloom.operators.graph import components
 from cityloom.sources.scratch import cut
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges (a, b, w) of the least spanning forest, ties by a, then b; ``edges`` has each
-    pair once.  Rounds of Boruvka: each part takes its least edge to another part, so the parts
-    are at least halved, and no part is gathered in one task."""
-    part = cut(nodes.select("id", F.col("id").alias("p")))
-    chosen = edges.select("a", "b", "w").limit(0)
-    while True:
-        at = lambda c: part.select(F.col("id").alias(c), F.col("p").alias("p" + c))
-        open_ = cut(edges.join(at("a"), "a").join(at("b"), "b").where("pa <> pb"))
-        if open_.isEmpty():
-            return chosen
+#: Edges between parts that one task finishes (five numbers each); more take rounds.
+ONE_TASK = 1_000_000
+
+
+def _kruskal(edges: pd.DataFrame) -> pd.DataFrame:
+    """The edges (a, b, w) of the least forest of the parts ``pa`` and ``pb``, ties by a, then b."""
+    edges = edges.sort_values(["w", "a", "b"], na_position="first", ignore_index=True)
+    ends, number = np.unique(edges[["pa", "pb"]].to_numpy(), return_inverse=True)
+    parent = list(range(len(ends)))
+    keep = []
+    for k, (x, y) in enumerate(number.reshape(-1, 2).tolist()):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return edges.loc[keep, ["a", "b", "w"]]
+
+
+def spanning_forest(nodes: DataFrame, edges: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """The edges (a, b, w) of the least spanning forest of ``nodes(id)``, ties by a, then b;
+    ``edges`` has each pair once.  Rounds of Boruvka: each part takes its least edge to another
+    part, so the parts are at least halved, and none is gathered in one task.  Once ``most``
+    edges between parts are left, one task finishes."""
+    near = lambda c: nodes.select(F.col("id").alias(c))
+    edges = edges.join(near("a"), "a", "left_semi").join(near("b"), "b", "left_semi")
+    open_ = cut(edges.select("a", "b", "w", F.col("a").alias("pa"), F.col("b").alias("pb")).where("a <> b"))
+    chosen: list[DataFrame] = []
+    while not open_.isEmpty():
+        if open_.count() <= most:
+            chosen.append(open_.repartition(1).mapInPandas(lambda frames: iter([_kruskal(pd.concat(frames))]), open_.select("a", "b", "w").schema))
+            break
         ends = open_.select(F.explode(F.array("pa", "pb")).alias("p"), F.struct("w", "a", "b", "pa", "pb").alias("e"))
         best = cut(ends.groupBy("p").agg(F.min("e").alias("e")).select("e.*").distinct())
-        chosen = cut(chosen.unionAll(best.select("a", "b", "w")))
+        chosen.append(best.select("a", "b", "w"))
         both = best.select(F.col("pa").alias("a"), F.col("pb").alias("b")).unionAll(best.select(F.col("pb").alias("a"), F.col("pa").alias("b")))
-        joined = components(part.select(F.col("p").alias("id")).distinct(), both).select(F.col("id").alias("p"), "component")
-        part = cut(part.join(joined, "p").select("id", F.col("component").alias("p")))
+        joined = components(both.select(F.col("a").alias("id")).distinct(), cut(both))
+        at = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias("to_" + c))  # noqa: B023, E731
+        moved = open_.join(at("pa"), "pa").join(at("pb"), "pb").where("to_pa <> to_pb")
+        # Of the edges between two parts only the least can be in the forest.
+        pair = moved.groupBy(F.least("to_pa", "to_pb").alias("pa"), F.greatest("to_pa", "to_pb").alias("pb"))
+        open_ = cut(pair.agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "pa", "pb"))
+    return cut(reduce(DataFrame.unionAll, chosen)) if chosen else edges.select("a", "b", "w").limit(0)
 
 
 def merge_group(group: pd.DataFrame, least: float) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cityloom.operators import graph, hulls, partition, spatial
 from cityloom.plans import catalog
 from cityloom.sources import files
+from cityloom.sources.scratch import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +41,20 @@ def test_spanning_forest_equals_kruskal(spark):
     assert partition.spanning_forest(spark.createDataFrame([], "id long"), spark.createDataFrame([], "a long, b long, w double")).isEmpty()
 
 
+def test_spanning_forest_in_rounds_equals_that_of_one_task(spark):
+    nodes, edges = random_graph(3, 60, 0.07)
+    frames = spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long, w double")
+    whole, rounds = ({tuple(r) for r in partition.spanning_forest(*frames, most=m).collect()} for m in (1000, 0))
+    assert whole == rounds and whole
+
+
+def test_estimated_sizes_do_not_multiply_over_rounds(spark):
+    df = spark.range(100)
+    for _ in range(5):
+        df = cut(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1e6
+
+
 def test_components_equal_union_find(spark):
     nodes, edges = random_graph(2, 60, 0.02)
     parent = {n: n for n in nodes}
