@@ -1,6 +1,7 @@
 """Polygon kernels against sampled points, and segment algorithms against their invariants."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,27 @@ def test_buffers_holes_and_precision():
     assert pg.ring_area(half) == 50
 
 
+def test_convex_polygons_are_buffered_as_any_others():
+    rng = np.random.default_rng(5)
+    shapes = [pg.box(3, 4, 20, 11), [pg.box(0, 0, 30, 12)[0][::-1]], [pg.hull(rng.random((12, 2)) * 40)], [np.array([(0, 0), (30, 2), (9, 25.0)])]]
+    for p in shapes:
+        assert pg.convex(p) is not None
+        far = [*p, np.array([(500, 500), (501, 500), (500.5, 501)])]  # a second part: not convex any more
+        for d in (3.0, -2.0):
+            assert abs(pg.area(pg.buffer(far, d)) - pg.area(pg.buffer(far[1:], d)) - pg.area(pg.buffer(p, d))) < 1e-5
+        a, b, c = (pg.area(pg.opened(q, 2.0)) for q in (far, far[1:], p))
+        assert abs(a - b - c) < 1e-3
+    star = np.array([(np.cos(t), np.sin(t)) for t in 4 * np.pi / 5 * np.arange(5)])
+    assert pg.convex([star]) is None and pg.convex([np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4.0)])]) is None
+
+
+def test_buffers_of_many_rectangles_take_a_moment():
+    began = time.process_time()
+    for k in range(400):
+        pg.buffer(pg.box(k, 0, k + 20, 9), 3.0), pg.opened(pg.box(k, 0, k + 20, 19), 5.0)
+    assert time.process_time() - began < 3
+
+
 def test_dissolve_in_groups_of_groups(spark, monkeypatch):
     monkeypatch.setattr(overlay, "_FAN", 3)
     rows = [(i % 2, [[{"x": x + i % 2 * 50.0, "y": y} for x, y in ((i, 0.0), (i + 2.0, 0.0), (i + 2.0, 1.0), (i, 1.0))]]) for i in range(20)]
