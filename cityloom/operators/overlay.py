@@ -51,7 +51,8 @@ def each(df: DataFrame, geom: str, f: Callable[[pg.Polygon], dict], schema: str)
             yield out
 
     before = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema if x.name in kept)
-    return df.mapInPandas(run, f"{before}, {schema}" if before else schema)
+    # A small file has one task; what is done to each geometry takes many.
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"{before}, {schema}" if before else schema)
 
 
 def _fields(schema: str) -> list[str]:
