@@ -89,6 +89,27 @@ def test_voronoi_cells_by_nearest_points(spark):
         assert hit[near].all()
 
 
+def test_voronoi_cells_equal_those_of_all_bisectors():
+    rng = np.random.default_rng(8)
+    for p in (rng.random((150, 2)) * 400, rng.integers(0, 12, (60, 2)) * 10.0, np.zeros((3, 2)), rng.random((90, 2)) * 3):
+        for block in (200, 2_000_000):
+            for (x, y), got in zip(p, pg.cells(p, p, 60.0, block), strict=True):
+                r = pg.box(x - 60, y - 60, x + 60, y + 60)[0]
+                for u, v in p:
+                    if (u, v) != (x, y):
+                        r = pg.clip_half(r, (x + u) / 2, (y + v) / 2, u - x, v - y)
+                assert abs(pg.ring_area(r) - pg.ring_area(got)) < 1e-6
+
+
+def test_voronoi_cells_of_many_points_take_a_moment(spark):
+    p = np.random.default_rng(9).random((4000, 2)) * 1400
+    began = time.process_time()
+    assert abs(sum(map(pg.ring_area, pg.cells(p, p, 60.0))) - 1460**2) < 1460**2 * 0.1
+    assert time.process_time() - began < 5
+    lost = overlay.cells_of_points(spark.createDataFrame([(1, 0.0, None), (2, 5.0, 5.0)], "id long, x double, y double"), 60.0)
+    assert {(r["id"], r["area"]) for r in lost.collect()} == {(1, None), (2, 14400.0)}
+
+
 def grid(n, seed):
     rng = random.Random(seed)
     ids = list(range(n * n))
