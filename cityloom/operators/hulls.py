@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def hull(xy: np.ndarray) -> np.ndarray:
     """The corners of the convex hull against the clock, from the least x; no point inside a side."""
-    p = np.unique(xy, axis=0)
+    p = sorted(set(map(tuple, xy.tolist())))
     if len(p) < 3:
-        return p
+        return np.array(p, float).reshape(-1, 2)
 
-    def chain(points: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
         for q in points:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
                 out.pop()
@@ -48,28 +50,31 @@ def least_rectangle(h: np.ndarray) -> tuple[float, float]:
 def least_circle(h: np.ndarray) -> float:
     """Radius of the smallest circle around the corners of a hull, grown point by point."""
 
-    def two(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-        return (a + b) / 2, float(np.hypot(*(a - b))) / 2
-
-    def three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
-        m = 2 * np.array([b - a, c - a])
-        if abs(np.linalg.det(m)) < 1e-12:
-            return max((two(a, b), two(a, c), two(b, c)), key=lambda t: t[1])
-        o = a + np.linalg.solve(m, np.array([((b - a) ** 2).sum(), ((c - a) ** 2).sum()]))
-        return o, float(np.hypot(*(o - a)))
-
-    out = lambda o, r, q: np.hypot(*(q - o)) > r * (1 + 1e-12) + 1e-12
-    o, r = h[0], 0.0
-    for i in range(1, len(h)):
-        if out(o, r, h[i]):
-            o, r = h[i], 0.0
+    def two(a: list[float], b: list[float]) -> tuple[float, float, float]:
+        return (a[0] + b[0]) / 2, (a[1] + b[1]) / 2, math.hypot(a[0] - b[0], a[1] - b[1]) / 2
+
+    def three(a: list[float], b: list[float], c: list[float]) -> tuple[float, float, float]:
+        bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+        d = 2 * (bx * cy - by * cx)
+        if abs(d) < 1e-12:
+            return max((two(a, b), two(a, c), two(b, c)), key=lambda t: t[2])
+        u, v = bx * bx + by * by, cx * cx + cy * cy
+        x, y = (cy * u - by * v) / d, (bx * v - cx * u) / d
+        return a[0] + x, a[1] + y, math.hypot(x, y)
+
+    p = h.tolist()
+    out = lambda o, q: math.hypot(q[0] - o[0], q[1] - o[1]) > o[2] * (1 + 1e-12) + 1e-12
+    o = (p[0][0], p[0][1], 0.0)
+    for i in range(1, len(p)):
+        if out(o, p[i]):
+            o = (p[i][0], p[i][1], 0.0)
             for j in range(i):
-                if out(o, r, h[j]):
-                    o, r = two(h[i], h[j])
+                if out(o, p[j]):
+                    o = two(p[i], p[j])
                     for k in range(j):
-                        if out(o, r, h[k]):
-                            o, r = three(h[i], h[j], h[k])
-    return r
+                        if out(o, p[k]):
+                            o = three(p[i], p[j], p[k])
+    return o[2]
 
 
 def group_shapes(points: DataFrame) -> DataFrame:
@@ -77,21 +82,35 @@ def group_shapes(points: DataFrame) -> DataFrame:
     one) of ``points(key, x, y)``.  Points with a null belong to no shape.
 
     Batches are reduced to hulls first, so a group's task gets corners only, however many
-    points the group has."""
+    points the group has; many small groups share a batch."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for key, g in b.groupby("key"):
-                h = hull(g[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({"key": key, "x": h[:, 0], "y": h[:, 1]})
-
-    def shape(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        h = hull(g[["x", "y"]].to_numpy(float))
-        length, width = least_rectangle(h)
-        r = least_circle(h)
-        return pd.DataFrame({"key": [key[0]], "corners": [len(h)], "area": [area(h)], "length": [length], "width": [width], "reock": [area(h) / (np.pi * r * r) if r else None]})
+            number, keys = pd.factorize(b["key"])
+            order = np.argsort(number, kind="stable")
+            xy = b[["x", "y"]].to_numpy(float)[order]
+            stops = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(keys)))))
+            found = [hull(xy[i:j]) for i, j in zip(stops[:-1], stops[1:], strict=True)]
+            if found:
+                xy = np.concatenate(found)
+                yield pd.DataFrame({"key": keys.repeat([len(h) for h in found]), "x": xy[:, 0], "y": xy[:, 1]})
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("corners")
+            flat = lists.flatten()
+            xy = np.stack([flat.field("x").to_numpy(), flat.field("y").to_numpy()], axis=1)
+            stops = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            rows = []
+            for i, j in zip(stops[:-1], stops[1:], strict=True):
+                h = hull(xy[i:j])
+                r, a = least_circle(h), area(h)
+                rows.append((len(h), a, *least_rectangle(h), a / (np.pi * r * r) if r else None))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(list(c), k) for c, k in zip(columns, [pa.int64()] + [pa.float64()] * 4, strict=True))], ["key", "corners", "area", "length", "width", "reock"])
 
     kind = points.schema["key"].dataType.simpleString()
     known = points.select("key", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
     corners = known.mapInPandas(partial, f"key {kind}, x double, y double")
-    return corners.groupBy("key").applyInPandas(shape, f"key {kind}, corners long, area double, length double, width double, reock double")
+    groups = corners.groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("corners"))
+    return groups.mapInArrow(shapes, f"key {kind}, corners long, area double, length double, width double, reock double")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -151,3 +152,14 @@ def test_hull_shapes_equal_brute_force(spark):
     got = {r["key"]: r for r in hulls.group_shapes(spark.createDataFrame(rows, "key long, x double, y double").repartition(3)).collect()}
     assert (got[1]["corners"], got[1]["area"], got[1]["length"]) == (4, 4.0, 2.0) and math.isclose(got[1]["reock"], 2 / math.pi)
     assert got[2]["reock"] is None and got[2]["corners"] == 1
+
+
+def test_shapes_of_many_small_groups_take_a_moment(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.random() * 50, rng.random() * 50) for k in range(3000) for _ in range(4)]
+    df = spark.createDataFrame(rows, "key long, x double, y double").cache()
+    df.count()
+    began = time.time()
+    got = hulls.group_shapes(df).collect()
+    assert len(got) == 3000 and all(0 < r["reock"] <= 1 for r in got)
+    assert time.time() - began < 8
