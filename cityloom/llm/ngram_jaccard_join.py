@@ -6,10 +6,11 @@ shingles, so if the shingles are dealt into P > k parts, at least P - k parts of
 are equal.  The parts of a set are its keys, each with an inverted list of the documents
 that have it, and a link needs P - k common keys: no link is lost, whatever the hashes.
 
-Long lists.  As in DivideSkip, a set leaves out the long ones of its lists as long as
-fewer than P - k of them are left out, so a passage that many documents share brings
-none of them together; only sets with more long lists than that keep them.  Lists that
-remain link their members to the least one, and so cut the corpus into candidate clusters.
+Long lists.  As in DivideSkip, a set leaves out its longest lists, one fewer than it shares
+with any linked set.  All sets order lists alike, so of the keys that a linked pair shares
+the one with the shortest list remains in both.  Sets that share only a few keys, by chance
+or by a passage, are not brought together.  Lists that remain link their members to the
+least one, and so cut the corpus into candidate clusters.
 
 Search.  First each member is searched against the least member of its lists, so a large
 group of near copies is linked in linear time.  Where a cluster is not one component yet,
@@ -40,7 +41,7 @@ from ._bloom import only_keys, without_keys
 from ._common import cut, pieces, release, strings, table
 from ._graph import components
 
-#: Members of a list that is long.
+#: Members of a list that is long: longer ones are ordered by their hashes alone.
 LONG = 64
 #: Bounds of a block of a search: documents, and shingles in all.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
@@ -244,10 +245,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     one = lambda side, skip: F.transform(side, lambda h: F.struct(h.alias("h"), F.lit(side).alias("side"), F.col(skip).alias("skip")))
     rows = made.where("size(own) > 0 OR size(below) > 0").select("cls", F.explode(F.concat(one("own", "own_skip"), one("below", "below_skip"))).alias("k")).select("cls", "k.*")
     slim = made.select("cls", F.explode(F.concat("own", "below")).alias("h"))
-    lists = cut(slim.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("many")).where("least < most").select("h", "least", (F.col("many") > LONG).alias("long")))
-    shared = cut(only_keys(rows, "h", lists.select(F.col("h").alias("key"))).join(lists, "h").groupBy("cls", "side", "least", "long").agg(F.countDistinct("h").alias("many"), F.max("skip").alias("skip")))
-    keeps = shared.where("long").groupBy("cls", "side").agg((F.sum("many") > F.max("skip")).alias("keeps")).where("keeps").select("cls", "side")
-    kept = shared.where("NOT long").select("cls", "least").unionAll(shared.where("long").join(keeps, ["cls", "side"], "left_semi").select("cls", "least")).where("cls <> least")
+    lists = cut(slim.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("many")).where("least < most").select("h", "least", F.least("many", F.lit(LONG)).alias("long")))
+    mine = only_keys(rows, "h", lists.select(F.col("h").alias("key"))).join(lists, "h").groupBy("cls", "side").agg(F.sort_array(F.collect_set(F.struct("long", "h", "least")), asc=False).alias("lists"), F.max("skip").alias("skip"))
+    kept = mine.where("size(lists) > skip").select("cls", F.explode(F.expr("slice(lists, cast(skip as int) + 1, size(lists))")).alias("k")).select("cls", "k.least").where("cls <> least")
     edges = cut(kept.distinct())
     release(docs.sparkSession)
 

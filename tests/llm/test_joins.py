@@ -72,3 +72,19 @@ def test_null_keys_cost_no_pairs(spark):
 def test_helper_columns_may_be_there_already(spark):
     d = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y")], "doc_id long, text string, gone string")
     assert [(r.doc_id, r.gone) for r in ngram_jaccard_join.keep_one(d).collect()] == [(1, "x")]
+
+
+def test_a_shared_passage_brings_no_sets_together(spark, monkeypatch):
+    searched = []
+    search = ngram_jaccard_join._search
+
+    def counted(docs, roles, size, percent):
+        searched.append(roles.count())
+        return search(docs, roles, size, percent)
+
+    monkeypatch.setattr(ngram_jaccard_join, "_search", counted)
+    word = lambda i, j: f"w{i}x{j}"
+    common = [word("c", j) for j in range(60)]
+    rows = [(i, " ".join([*common, *(word(i, j) for j in range(240))])) for i in range(40)]
+    got = ngram_jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80).collect()
+    assert sorted(r.component_id for r in got) == list(range(40)) and sum(searched) == 0
