@@ -93,6 +93,28 @@ def test_scores_of_texts_equal_the_softmax(spark, monkeypatch):
         assert math.isclose(total, got[key], rel_tol=1e-6)
 
 
+def test_a_large_corpus_is_learned_from_with_every_count(spark, monkeypatch):
+    for name, value in {"TOP": 5, "STEPS": 1, "BATCH": 64, "BUCKET": 60, "ROUNDS": 3}.items():
+        monkeypatch.setattr(lm_scoring, name, value)
+    held, plain = [], lm_scoring.train_in_tasks
+
+    def keep(grams, size):
+        held.append({r.g: r.c for r in grams.collect()})
+        return plain(grams, size)
+
+    monkeypatch.setattr(lm_scoring, "train_in_tasks", keep)
+    d = spark.createDataFrame([(i, letters(i, 30, "abc")) for i in range(40)], "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in lm_scoring.scores(d.repartition(n), F.lit(True)).collect()} for n in (1, 5))
+    assert all(math.isclose(one[k], two[k], rel_tol=1e-9) for k in one)
+    assert [sum(x.values()) for x in held] == [40 * 31] * 2
+    # Each count has its whole weight in a pass.
+    count, seen = np.array([1.0, 900.0, 3.0, 40.0]), np.zeros(4)
+    net = lm_scoring.Net(np.full(4, 0.25), np.random.default_rng(1))
+    monkeypatch.setattr(lm_scoring.Net, "step", lambda self, u, v, w, weight, rng: seen.__iadd__(np.bincount(w, weights=weight > 0, minlength=4)))
+    lm_scoring.one_pass(net, np.arange(4), count, np.random.default_rng(1))
+    assert (seen >= 1).all()
+
+
 def test_growth_of_the_language_model():
     assert lm_scoring.growth(1000) == 1 and math.isclose(lm_scoring.growth(32_000_000), 2) and lm_scoring.growth(10**13) > 20
 
