@@ -60,28 +60,30 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _held(rows: DataFrame, least_bytes: int) -> DataFrame:
-    """``rows(page_id, url, html, digest)`` with ``revisit``, ``first`` (the largest page_id
+    """``rows(page_id, url, html)`` with ``revisit``, ``first`` (the largest page_id
     with an equal payload) and ``held`` (the identifier of its record, null where no other
     row has the payload), and ``u``, which tells rows of one page_id and payload apart."""
-    slim = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("k"))
-    shared = slim.groupBy(F.col("digest").alias("shared")).agg(F.max(F.struct("page_id", "k")).alias("first"), F.sum("k").alias("many")).where("many > 1")
-    shared = cut(shared.select("shared", F.col("first.page_id").alias("first"), F.col("first.k").alias("ties")))
-    maybe = may_hold(shared.select(F.col("shared").alias("key")), F.col("digest"))
-    alone = lambda d: d.select("page_id", "url", "html", "digest", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("held"), F.lit(None).cast("long").alias("u"))
-    some = rows.where(maybe).join(shared, (F.col("digest") == F.col("shared")) & (F.octet_length("html") >= least_bytes), "left")
-    own = F.col("page_id").eqNullSafe(F.col("first"))
-    held = _ident(F.lit("held"), F.col("shared"))
-    out = alone(rows.where(~maybe)).unionByName(alone(some.where("shared is null")))
-    with_ = some.where("shared is not null")
-    columns = ("page_id", "url", "html", "digest")
-    out = out.unionByName(with_.where(~own).select(*columns, F.lit(True).alias("revisit"), "first", held.alias("held"), F.monotonically_increasing_id().alias("u")))
-    out = out.unionByName(with_.where(own & (F.col("ties") == 1)).select(*columns, F.lit(False).alias("revisit"), "first", held.alias("held"), F.lit(None).cast("long").alias("u")))
+    # Filters are moved down to the scan, where nothing that they compute is kept: each mention of
+    # SHA-1 in one would be computed anew.  So rows are told apart there by a quick hash.
+    sha, quick, enough = F.sha1(F.col("html").cast("binary")), F.xxhash64("html"), F.octet_length("html") >= least_bytes
+    slim = rows.where(enough).groupBy(sha.alias("shared"), quick.alias("quick"), "page_id").agg(F.count("*").alias("k"))
+    shared = slim.groupBy("shared", "quick").agg(F.max(F.struct("page_id", "k")).alias("first"), F.sum("k").alias("many")).where("many > 1")
+    shared = cut(shared.select("shared", "quick", F.col("first.page_id").alias("first"), F.col("first.k").alias("ties")))
+    none = {"revisit": F.lit(False), "first": F.lit(None).cast("long"), "held": F.lit(None).cast("string"), "u": F.lit(None).cast("long")}
+    if shared.isEmpty():
+        return rows.withColumns(none)
+    maybe = may_hold(shared.select(F.col("quick").alias("key")), quick)
+    some = rows.where(maybe).withColumn("sha", sha).join(shared.drop("quick"), (F.col("sha") == F.col("shared")) & enough, "left")
+    has, own = F.col("shared").isNotNull(), F.col("page_id").eqNullSafe(F.col("first"))
+    some = some.withColumns({"revisit": has & ~own, "held": F.when(has, _ident(F.lit("held"), F.col("shared"))), "tied": F.coalesce(has & own & (F.col("ties") > 1), F.lit(False))})
+    columns = rows.columns
+    numbered = lambda d, which: d.select(*columns, "revisit", "first", "held", F.when(which, F.monotonically_increasing_id()).alias("u"))
+    out = rows.where(~maybe).withColumns(none).unionByName(numbered(some.where(~F.col("tied")), F.col("revisit")))
     if not shared.where("ties > 1").isEmpty():
         # One of the rows that repeat the largest page_id is the one that revisits refer to.
-        ties = cut(with_.where(own & (F.col("ties") > 1)).select(*columns, F.lit(False).alias("revisit"), "first", held.alias("held"), F.monotonically_increasing_id().alias("u")))
-        one = ties.groupBy(F.col("digest").alias("shared")).agg(F.min("u").alias("one"))
-        ties = ties.join(cut(one), F.col("digest") == F.col("shared")).withColumn("u", F.when(F.col("u") != F.col("one"), F.col("u"))).drop("shared", "one")
-        out = out.unionByName(ties)
+        ties = cut(numbered(some.where("tied"), F.lit(True)))
+        one = cut(ties.groupBy(F.col("held").alias("of")).agg(F.min("u").alias("one")))
+        out = out.unionByName(ties.join(one, F.col("held") == F.col("of")).withColumn("u", F.when(F.col("u") != F.col("one"), F.col("u"))).drop("of", "one"))
     return out
 
 
@@ -92,7 +94,7 @@ def _ident(*parts: Column) -> Column:
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, compression: str = "none") -> None:
     """Write the archives of ``pages`` below ``path``."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = _held(rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))), least_bytes)
+    rows = _held(rows, least_bytes).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     # The row that others refer to, if any, has that identifier; of all others page, payload and ``u`` make one.
     own = F.when(F.col("held").isNotNull() & F.col("u").isNull(), F.col("held")).otherwise(_ident(F.lit("capture"), F.col("page_id").cast("string"), F.col("digest"), F.md5(F.coalesce("url", F.lit(""))), F.coalesce(F.col("u").cast("string"), F.lit("-"))))
     if least_bytes > 0:  # short payloads may repeat in full, so they are numbered as well

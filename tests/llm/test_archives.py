@@ -3,6 +3,8 @@
 import glob
 import gzip
 
+from pyspark.sql import DataFrameWriter
+
 from cityloom.llm import url_filter, warc
 
 
@@ -35,6 +37,17 @@ def test_whole_files_in_gzip_are_read(spark, tmp_path):
     assert warc.assemble(warc.read(spark, f"{tmp_path}/g")).count() == 2
 
 
+def test_payloads_are_not_digested_again_for_each_probe(spark, tmp_path, monkeypatch):
+    plans, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or text(self, path))
+    rows = [(i, f"http://{i}/", f"page {i // 3 if i < 9 else i}") for i in range(200)] + [(8, "http://8/again", "page 2")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/d")
+    filters = [line for line in plans[0].splitlines() if "Filter" in line]
+    assert any("html" in line for line in filters) and not any("sha" in line.split("Filter", 1)[1].replace("shared", "") for line in filters)
+    got = warc.assemble(warc.read(spark, f"{tmp_path}/d")).collect()
+    assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == [(0, 2), (1, 2), (3, 5), (4, 5), (6, 8), (7, 8)] and len(got) == 201
+
+
 def test_short_payloads_stay_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (2, "a", "x")], "page_id long, url string, html string")
     warc.write(pages, f"{tmp_path}/s", least_bytes=10)
