@@ -3,7 +3,8 @@
 Writing.  Each page becomes a transaction of three records: a response (or, where an
 equal payload is already held by the capture with the largest page_id, a revisit that
 refers to the record of that capture), a request and a metadata record, the latter two
-concurrent to the first.  Records are plain text that blank lines end, so Spark's own text
+concurrent to the first.  A warcinfo record comes before all, so that Spark, which writes its
+first file even of no rows, leaves no archive without records.  Records are plain text that blank lines end, so Spark's own text
 writer lays them down in any store and commits them atomically, and any reader can take
 a record by its offset.  Only pages whose payload another page may share are shuffled.
 
@@ -18,7 +19,7 @@ of the records and read as null; among rows of equal payload that repeat the lar
 page_id all are responses, and revisits refer to one of them; fully repeated rows give as
 many captures, each with record identifiers of its own; a payload under ``least_bytes``
 is always a response; line breaks in a url are percent-encoded; an empty table gives an
-archive without records, read as no rows; other columns are not read.
+archive of the warcinfo record alone, read as no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,7 +109,9 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     request = _record("request", [*also("request"), F.lit("Content-Type: application/http; msgtype=request\r\n")], F.concat(F.lit("GET "), F.coalesce("url", F.lit("")), F.lit(" HTTP/1.1\r\n\r\n")))
     fields = F.concat(_line("page-id", F.col("page_id").cast("string")), _line("payload-length", F.octet_length("html").cast("string")))
     metadata = _record("metadata", [*also("metadata"), F.lit("Content-Type: application/warc-fields\r\n")], fields)
-    rows.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    about = [_line("WARC-Record-ID", _ident(F.lit("warcinfo"), F.lit(path))), F.lit("Content-Type: application/warc-fields\r\n")]
+    first = pages.sparkSession.range(0, 1, 1, 1).select(_record("warcinfo", about, F.lit("software: cityloom\r\nformat: WARC File Format 1.1\r\n")).alias("value"))
+    first.unionByName(rows.select(F.explode(F.array(capture, request, metadata)).alias("value"))).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(data: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -148,6 +151,8 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.R
             data = _inflated(raw) if len(raw) > 1 and raw[:2].to_pybytes() == b"\x1f\x8b" else raw
             for head, block in parse(data):
                 kind, get = head["warc-type"], head.get
+                if kind == "warcinfo":
+                    continue
                 page = size = payload = checked = None
                 digest = get("warc-payload-digest", "").removeprefix("sha1:") or None
                 if kind == "response":
@@ -170,7 +175,7 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.R
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row for each record of the archives below ``path``."""
+    """One row for each record of the archives below ``path``, those about the archive left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(partial(_records, payloads=payloads), _SCHEMA)
 

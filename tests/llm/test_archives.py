@@ -37,6 +37,20 @@ def test_whole_files_in_gzip_are_read(spark, tmp_path):
     assert warc.assemble(warc.read(spark, f"{tmp_path}/g")).count() == 2
 
 
+def test_no_archive_is_without_records(spark, tmp_path):
+    pages = spark.range(0, 40, 1, 4).where("id >= 15").selectExpr("id AS page_id", "'u' AS url", "string(id % 12) AS html")  # no rows in the first task
+    for name, compression, opened in (("p", "none", open), ("z", "gzip", gzip.open)):
+        for part, n in ((pages, 25), (pages.limit(0), 0)):
+            path = f"{tmp_path}/{name}{n}"
+            warc.write(part, path, compression=compression)
+            files = [opened(f, "rb").read() for f in glob.glob(f"{path}/part-*")]
+            assert files and all(f.startswith(b"WARC/1.1\r\n") for f in files)
+            kinds = [head["warc-type"] for f in files for head, _ in warc.parse(f)]
+            assert len(kinds) == 3 * n + 1 and kinds.count("warcinfo") == 1
+            records = warc.read(spark, path)
+            assert records.count() == 3 * n and warc.assemble(records).count() == n
+
+
 def test_payloads_are_not_digested_again_for_each_probe(spark, tmp_path, monkeypatch):
     plans, text = [], DataFrameWriter.text
     monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or text(self, path))
