@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cityloom.llm import _text, ngram_jaccard_join
+from cityloom.llm import _graph, _text, ngram_jaccard_join
 
 
 def families(seed):
@@ -88,3 +88,50 @@ def test_a_shared_passage_brings_no_sets_together(spark, monkeypatch):
     rows = [(i, " ".join([*common, *(word(i, j) for j in range(240))])) for i in range(40)]
     got = ngram_jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80).collect()
     assert sorted(r.component_id for r in got) == list(range(40)) and sum(searched) == 0
+
+
+def test_few_edges_take_few_tasks_however_many_partitions(spark):
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("few-edges", "components")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(100) if i % 10 != 9], "a long, b long")
+        got = _graph.components(edges)
+        assert {(r.node, r.component) for r in got.collect()} == {(i, i // 10 * 10) for i in range(100)}
+        stages = {k for j in sc.statusTracker().getJobIdsForGroup("few-edges") for k in sc.statusTracker().getJobInfo(j).stageIds}
+        assert sum(sc.statusTracker().getStageInfo(k).numCompletedTasks for k in stages if sc.statusTracker().getStageInfo(k)) < 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("shape", ["random", "chain", "stars", "none"])
+def test_components_in_one_task_and_in_steps_agree(spark, monkeypatch, shape):
+    rng = random.Random(shape)
+    label = lambda i: hash((i, 5)) if i % 3 else -hash((i, 7))
+    pairs = {
+        "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(170)],
+        "chain": [(i, i + 1) for i in range(200)],
+        "stars": [(500 + i % 5, i) for i in range(60)] + [(i, i) for i in range(3)],
+        "none": [(4, 4)],
+    }[shape]
+    edges = spark.createDataFrame([(label(a), label(b)) for a, b in pairs] * 2, "a long, b long")
+    whole = sorted(map(tuple, _graph.components(edges).collect()))
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(label(a), set()).add(label(b)), near.setdefault(label(b), set()).add(label(a))
+    least = {}
+    for x in sorted(near):
+        todo = [] if x in least else [x]
+        while todo:
+            y = todo.pop()
+            if y not in least:
+                least[y] = x
+                todo += near[y]
+    assert whole == sorted(least.items())
+    if shape != "chain":  # many steps
+        monkeypatch.setattr(_graph, "MOST_EDGES", 0)
+        assert sorted(map(tuple, _graph.components(edges).collect())) == whole
